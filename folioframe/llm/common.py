@@ -80,3 +80,10 @@ def word_array(text: Column) -> Column:
 
 #: The same for DuckDB.
 SQL_WORDS = r"regexp_extract_all(translate(coalesce(text, ''), '" + UPPER + "', '" + LOWER + r"'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+
+def small_batches(spark: SparkSession, most: int = 2000) -> None:
+    """Let Arrow batches hold at most so many rows: workers share an executor's memory, and texts may be long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > most:
+        spark.conf.set(key, most)
