@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, mixing, token_store
+from . import decontaminate, licenses, line_dedup, mixing, near_dedup, token_store
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
     "op2_token_store": token_store.op2_token_store,
     "op3_decontaminate": decontaminate.op3_decontaminate,
     "op4_line_dedup": line_dedup.op4_line_dedup,
+    "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
 }
 ORACLES = {
