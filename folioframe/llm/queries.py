@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, licenses, line_dedup, mixing, near_dedup, token_store
+from . import decontaminate, language_id, licenses, line_dedup, mixing, near_dedup, token_store
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_line_dedup": line_dedup.op4_line_dedup,
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
+    "op7_language_id": language_id.op7_language_id,
 }
 ORACLES = {
     "op1_license_scan": licenses.oracle(),
