@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_main, language_id, licenses, line_dedup, mixing, near_dedup, token_store
+from . import decontaminate, html_main, language_id, licenses, line_dedup, mixing, near_dedup, token_store, topk_search
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -12,6 +12,7 @@ QUERIES = {
     "op5_near_dedup": near_dedup.op5_near_dedup,
     "op6_mix_sources": mixing.op6_mix_sources,
     "op7_language_id": language_id.op7_language_id,
+    "op8_topk_search": topk_search.op8_topk_search,
     "op9_html_main_text": html_main.op9_html_main_text,
 }
 ORACLES = {
@@ -19,4 +20,5 @@ ORACLES = {
     "op3_decontaminate": decontaminate.oracle(),
     "op4_line_dedup": line_dedup.oracle(),
     "op6_mix_sources": mixing.oracle(),
+    "op8_topk_search": topk_search.oracle(),
 }
