@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import load, small_batches
 
@@ -157,8 +158,8 @@ def predicted(rows: Iterator[pa.RecordBatch], profiles: dict[str, list[int]], ra
 def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", keep: tuple[str, ...] = ("doc_id",), ranks: int = RANKS) -> DataFrame:
     """The columns `keep`, lang_pred and score."""
     small_batches(docs.sparkSession)
-    rows = docs.select(F.col(text).alias("_text"), *keep)
-    schema = rows.select(*keep, F.lit("").cast("string").alias("lang_pred"), F.lit(0.0).alias("score")).schema
+    rows = docs.select(F.col(text).alias("_text"), *(docs[c] for c in keep))
+    schema = StructType(rows.schema.fields[1:]).add("lang_pred", "string").add("score", "double")
     return rows.mapInArrow(partial(predicted, profiles=profiles, ranks=ranks), schema)
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, html_main, language_id, licenses, line_dedup, mixing, near_dedup, token_store, topk_search
+from . import decontaminate, html_main, language_id, licenses, line_dedup, lm_scoring, mixing, near_dedup, token_store, topk_search
 
 QUERIES = {
     "op1_license_scan": licenses.op1_license_scan,
@@ -14,6 +14,7 @@ QUERIES = {
     "op7_language_id": language_id.op7_language_id,
     "op8_topk_search": topk_search.op8_topk_search,
     "op9_html_main_text": html_main.op9_html_main_text,
+    "op10_lm_scoring": lm_scoring.op10_lm_scoring,
 }
 ORACLES = {
     "op1_license_scan": licenses.oracle(),
