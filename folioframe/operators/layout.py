@@ -16,8 +16,14 @@ from ..functions import predicates as P
 from ..functions.dialect import SPARK
 
 PAGE = ("doc_id", "page")
-BY_DOC = Window.partitionBy("doc_id").orderBy("page", "ord")
-BY_PAGE = Window.partitionBy(*PAGE).orderBy("ord")
+
+
+def by_doc():
+    return Window.partitionBy("doc_id").orderBy("page", "ord")
+
+
+def by_page():
+    return Window.partitionBy(*PAGE).orderBy("ord")
 
 
 def exclusion_zone(blocks: DataFrame, page_height: float, top: float, bottom: float) -> DataFrame:
@@ -134,7 +140,7 @@ def classify(elements: DataFrame, rules: list[Rule] | None = None, config: Confi
     hit = (F.col("_rule") == "plain") & F.endswith(F.col("_prev.c"), F.lit(":")) & (F.col("x") > F.col("_prev.x") + config.indent)
     e = e.withColumn("_hit", F.coalesce(hit, F.lit(False)))
     other = F.when(~F.col("_hit") & (F.col("type") != "image"), 1).otherwise(0)
-    e = e.withColumn("_island", F.sum(other).over(BY_PAGE))
+    e = e.withColumn("_island", F.sum(other).over(by_page()))
     nth = F.sum(F.col("_hit").cast("int")).over(Window.partitionBy(*PAGE, "_island").orderBy("ord"))
     e = e.withColumn("level", F.when(F.col("_hit"), nth.cast("int")).otherwise(F.col("level"))).withColumn("type", F.when(F.col("_hit"), "list").otherwise(F.col("_type")))
     return e.drop("_t", "_plain", "_rule", "_type", "_prev", "_hit", "_island")
@@ -142,7 +148,7 @@ def classify(elements: DataFrame, rules: list[Rule] | None = None, config: Confi
 
 def runs(df: DataFrame, fits: Column, joins: Column, keys: tuple[str, ...] = PAGE) -> DataFrame:
     """df with _run (a number for each run of neighbours that fit and join the one before) and _n (its length; 0 if the row doesn't fit)."""
-    order = Window.partitionBy(*keys).orderBy("ord") if "page" in keys else BY_DOC
+    order = Window.partitionBy(*keys).orderBy("ord") if "page" in keys else by_doc()
     d = df.withColumn("_fits", F.coalesce(fits, F.lit(False)))
     d = d.withColumn("_new", F.when(F.col("_fits") & F.coalesce(F.lag("_fits").over(order) & joins, F.lit(False)), 0).otherwise(1))
     d = d.withColumn("_run", F.sum("_new").over(order))
@@ -153,7 +159,7 @@ def demote_bold_runs(elements: DataFrame, config: Config = DEFAULT) -> DataFrame
     """Bold headers of body size on consecutive lines are an emphasised paragraph."""
     fits = (F.col("type") == "header") & F.col("bold") & (F.col("font_size") <= F.col("body") * config.header_size_ratio)
     d = elements.withColumn("_depth", F.expr(P.numbering_depth(SPARK, f"({P.unbolded(SPARK, 'content')})")))
-    before = lambda c: F.lag(c).over(BY_PAGE)
+    before = lambda c: F.lag(c).over(by_page())
     joins = (F.col("_depth") == before("_depth")) & (F.abs(F.col("font_size") - before("font_size")) <= 0.5) & (F.abs(F.col("y") - before("y")) < 2 * before("font_size"))
     d = runs(d, fits, joins)
     many = F.col("_n") >= 2
@@ -164,8 +170,8 @@ def demote_numbered_runs(elements: DataFrame, config: Config = DEFAULT) -> DataF
     """Numbered lines in body style one after another are a list; one that the next line continues is a paragraph."""
     fits = (F.col("type") == "header") & ~F.col("bold") & (F.col("font_size") <= F.col("body") * config.header_size_ratio) & F.expr(P.numbered_header(SPARK, "content"))
     d = elements.withColumn("_depth", F.expr(P.numbering_depth(SPARK, "content")))
-    d = runs(d, fits, F.col("_depth") == F.lag("_depth").over(BY_PAGE))
-    after = lambda c: F.lead(c).over(BY_PAGE)
+    d = runs(d, fits, F.col("_depth") == F.lag("_depth").over(by_page()))
+    after = lambda c: F.lead(c).over(by_page())
     goes_on = (after("type") == "paragraph") & F.regexp_like(F.regexp_replace(after("content"), r"^\*+", ""), F.lit(r"^\p{Ll}")) & (F.abs(after("y") - F.col("y")) < 2 * F.col("font_size"))
     many, one = F.col("_n") >= 2, (F.col("_n") == 1) & F.coalesce(goes_on, F.lit(False))
     d = d.withColumn("_one", one)
@@ -190,7 +196,7 @@ def merge_code_blocks(elements: DataFrame) -> DataFrame:
 def merge_table_rows(elements: DataFrame) -> DataFrame:
     """Runs of table rows with pipes between columns; what has a single column is a paragraph again, or a header if numbered."""
     wide = F.replace("content", F.lit("    "), F.lit(" | "))
-    head = F.coalesce(F.lag("type").over(BY_PAGE) != "table", F.lit(True))
+    head = F.coalesce(F.lag("type").over(by_page()) != "table", F.lit(True))
     row = F.concat(F.lit("| "), F.when(head, wide).otherwise(F.replace(wide, F.lit("   "), F.lit(" | "))), F.lit(" |"))
     d = merge_runs(elements, "table", row)
     single = (F.col("type") == "table") & ~F.exists(F.split("content", "\n"), lambda line: F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit(""))) > 2)
@@ -246,7 +252,7 @@ def rank_header_levels(elements: DataFrame) -> DataFrame:
 def remove_contents(elements: DataFrame) -> DataFrame:
     """Without the table of contents: from its title (or from the second element after an abstract) to the first chapter."""
     t = F.expr(SPARK.trim("content"))
-    d = elements.withColumn("_i", F.row_number().over(BY_DOC)).withColumn("_t", F.lower(t))
+    d = elements.withColumn("_i", F.row_number().over(by_doc())).withColumn("_t", F.lower(t))
     w = Window.partitionBy("doc_id")
     title = F.min(F.when(F.col("_t").isin("table of contents", "contents"), F.col("_i"))).over(w)
     abstract = F.min(F.when(F.col("_t") == "abstract", F.col("_i"))).over(w)
