@@ -47,10 +47,15 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
     if sum(sizes.values()) <= broadcast_rows:
         found = at.join(F.broadcast(grams.unionByName(marker)), (F.col("at_h") == F.col("h")) & same)
     else:
-        # only keys travel to the set; the window's text is compared once the few candidates are back at their document
-        near = at.filter("c >= 0").select("rid", "c", "i", "l", "at_h").hint("merge").join(grams, (F.col("at_h") == F.col("h")) & (F.col("l") == F.col("len")))
-        per = near.groupBy("rid").agg(F.collect_list(F.struct("i", "l", "gram", "items")).alias("cand"))
-        both = base.join(per, "rid", "left").select("rid", "id", F.size("words").alias("n"), F.expr("filter(cand, x -> x.gram = array_join(slice(words, cast(x.i as int), x.l), ' '))").alias("ok"))
+        # only keys travel to the set; the window's text is compared once the few candidates are back at their document.
+        # Row numbers may differ between two readings, so id and text find the document again; equal rows are judged alike.
+        own = docs.select(F.monotonically_increasing_id().alias("rid"), F.col(key).alias("id"), F.xxhash64(F.coalesce(F.col(text), F.lit(""))).alias("t"), word_array(F.col(text)).alias("words"))
+        at = own.select("id", "t", "words", F.size("words").alias("n"), F.explode(F.expr(f"sequence(-1, size(words) * {k} - 1)")).alias("c")).filter("c >= 0")
+        at = at.withColumn("i", F.expr(f"c div {k} + 1")).withColumn("l", F.expr(f"element_at(array({', '.join(map(str, lens))}), cast(c % {k} + 1 as int))")).filter("i + l - 1 <= n")
+        at = at.select("id", "t", "i", "l", F.xxhash64(F.expr("slice(words, cast(i as int), l)")).alias("at_h"))
+        near = at.hint("merge").join(grams, (F.col("at_h") == F.col("h")) & (F.col("l") == F.col("len")))
+        per = near.groupBy(F.col("id").alias("id2"), F.col("t").alias("t2")).agg(F.collect_set(F.struct("i", "l", "gram", "items")).alias("cand"))
+        both = own.join(per, own["id"].eqNullSafe(per["id2"]) & (own["t"] == per["t2"]), "left").select("rid", "id", F.size("words").alias("n"), F.expr("filter(cand, x -> x.gram = array_join(slice(words, cast(x.i as int), x.l), ' '))").alias("ok"))
         empty = "named_struct('i', 0L, 'l', 0, 'gram', cast(null as string), 'items', cast(array() as array<string>))"
         found = both.select("rid", "id", "n", F.explode(F.expr(f"concat(array({empty}), coalesce(ok, array()))")).alias("x")).selectExpr("rid", "id", "n", "if(x.l = 0, -1L, 0L) as c", "x.i as i", "x.l as l", "x.items as items")
     found = found.select("rid", "id", "n", F.expr("if(c < 0, null, struct(cast(i - 1 as bigint) as s, cast(i - 1 + l as bigint) as e))").alias("hit"), "items")

@@ -164,7 +164,7 @@ def lm_scores(docs: DataFrame, training, text: str = "text", key: str = "doc_id"
     counts = written(word_counts(learn, text), "lm-counts")
     steps = counts.groupBy(F.floor(F.log2("n")).cast("int").alias("p")).agg(F.count("*").alias("words"), F.sum("n").alias("tokens")).collect()  # at most 64 rows
     n_all, v_all = sum(r["tokens"] for r in steps), sum(r["words"] for r in steps)
-    least, upto = 63, 0
+    least, upto = 62, 0
     for r in sorted(steps, key=lambda r: -r["p"]):
         if upto + r["words"] > head:
             break
@@ -178,6 +178,9 @@ def lm_scores(docs: DataFrame, training, text: str = "text", key: str = "doc_id"
     place = np.argsort(names)
     vocabulary = (names[place], numbers[place].astype(np.int64))
     n_end = int(looked_up(np.array([END_HASH]), *frequent, 0)[0]) or int((counts.filter(F.col("h") == int(END_HASH.view(np.int64))).agg(F.sum("n")).collect()[0][0]) or 0)
+    # so that no word of the vocabulary is looked for elsewhere
+    keys, first = np.unique(np.concatenate([frequent[0], top[0], np.array([END_HASH] * (n_end > 0), np.uint64)]), return_index=True)
+    frequent = (keys, np.concatenate([frequent[1], top[1], np.array([n_end] * (n_end > 0), np.int64)])[first])
     # what is left behind the stand-in, with one place for words never seen
     z_others = (n_all - int(top[1].sum()) - n_end) + (v_all - len(top[1]) - (n_end > 0)) + 1
     share = min(1.0, train_docs / n_end) if n_end else 0.0

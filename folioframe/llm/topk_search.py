@@ -193,7 +193,7 @@ def top_k(vectors: DataFrame, vector: str = "embedding", key: str = "vec_id", k:
         sent = chunks.join(routes, ["dim", "home", "part"])
     else:  # every chunk of queries to every block of its length, by an equi-join on the length spread over the blocks' parts
         names = blocks.groupBy("dim", F.pmod(F.xxhash64("block"), F.lit(64)).alias("share")).agg(F.collect_list("block").alias("blocks"))
-        spread = chunks.withColumn("share", F.explode(F.sequence(F.lit(0), F.lit(63))).cast("long"))
+        spread = chunks.withColumn("share", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(63).cast("long"))))
         sent = spread.join(names, ["dim", "share"]).withColumn("block", F.explode("blocks")).drop("blocks", "share")
     both = sent.select("dim", "block", "qids", "q", "floors").join(blocks.select("block", "ids", "data").hint("merge"), "block")
     found = both.mapInArrow(partial(scored, k=k), "query_id long, vec_id long, score long")
