@@ -1 +1,21 @@
+"""Documents that arrive as files: the same per-document plan, batch by batch."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
+
+from ..plans.layout import to_markdown
+from ..sources.pdf import scan
+
+FILES = "path string, modificationTime timestamp, length long, content binary"
+
+
+def markdown_stream(spark: SparkSession, folder: str, out: str, checkpoint: str, pattern: str = "*.pdf", **trigger) -> StreamingQuery:
+    """Convert files as they appear in a folder. A document comes whole, so there is no state beyond the list of files seen."""
+    files = spark.readStream.format("binaryFile").schema(FILES).option("pathGlobFilter", pattern).load(folder)
+
+    def convert(batch: DataFrame, batch_id: int) -> None:
+        to_markdown(scan.part(scan.scan(batch), "blocks")).write.mode("append").parquet(out)
+
+    return files.writeStream.foreachBatch(convert).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
