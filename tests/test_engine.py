@@ -197,11 +197,15 @@ GOLDEN = {
     "headings": ([("Helvetica-Bold", 24, 740, "Annual Report"), ("Helvetica", 12, 700, "This report summarizes the results of the year."), ("Helvetica", 12, 686, "It is split into short sections."), ("Helvetica-Bold", 16, 640, "Results"), ("Helvetica", 12, 615, "Revenue grew steadily over the four quarters.")],
                  "# Annual Report\n\nThis report summarizes the results of the year. It is split into short sections.\n\n## Results\n\nRevenue grew steadily over the four quarters.\n\n"),
     "lists": ([("Helvetica-Bold", 20, 740, "Shopping")] + [("Helvetica", 12, 700 - 14 * i, t) for i, t in enumerate(("• Apples", "• Bread", "• Cheese", "1. Wash", "2. Slice", "3. Serve"))], "# Shopping\n\n- Apples\n- Bread\n- Cheese\n1. Wash\n2. Slice\n3. Serve\n"),
+    "code": ([("Helvetica", 12, 740, "Run the following program:"), ("Courier", 10, 700, "func main() {"), ("Courier", 10, 688, '    fmt.Println("hi")'), ("Courier", 10, 676, "}"), ("Helvetica", 12, 640, "It prints a greeting.")],
+             'Run the following program:\n\n```\nfunc main() {\n```\n\n    fmt.Println("hi")\n\n```\n}\n```\n\nIt prints a greeting.\n\n'),
+    "columns": ([("Helvetica", 12, 700 - 14 * i, f"{side} column line {n}.", x) for side, x in (("Left", 72), ("Right", 330)) for i, n in enumerate(("one", "two", "three", "four"))],
+                "\n\n".join(" ".join(f"{side} column line {n}." for n in ("one", "two", "three", "four")) for side in ("Left", "Right")) + "\n\n"),
 }
 
 
 def test_pages_to_markdown(spark):
-    files = spark.createDataFrame([(name, bytearray(write([[(f, s, 72, y, t) for f, s, y, t in runs]]))) for name, (runs, _) in GOLDEN.items()], "path string, content binary")
+    files = spark.createDataFrame([(name, bytearray(write([[(f, s, (x or [72])[0], y, t) for f, s, y, t, *x in runs]]))) for name, (runs, _) in GOLDEN.items()], "path string, content binary")
     got = {r.doc_id: r.md for r in plan.to_markdown(scan.part(scan.scan(files), "blocks")).collect()}
     assert got == {name: md for name, (_, md) in GOLDEN.items()}
 
