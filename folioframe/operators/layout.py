@@ -296,3 +296,32 @@ def best_detections(elements: DataFrame, detections: DataFrame, config: Config =
     out = elements.join(best, [*PAGE, "ord"], "left").withColumn("class_id", F.col("m.d_class_id")).withColumn("class_conf", F.col("m.d_confidence")).drop("m")
     named = F.create_map(*(x for k, v in CLASS_TYPES.items() for x in (F.lit(k), F.lit(v))))[F.col("class_id")]
     return out.withColumn("type", F.when((F.col("type") != "image") & (F.col("class_conf") >= config.override_confidence) & named.isNotNull() & (named != ""), named).otherwise(F.col("type")))
+
+
+def link_elements(elements: DataFrame, links: DataFrame, share: float = DEFAULT.link_share) -> DataFrame:
+    """Paragraphs, headers and lists that a link covers, as [content](uri)."""
+    linked = apply_links(elements.withColumn("_old", F.col("link_uri")), links, share)
+    wraps = F.col("type").isin("paragraph", "header", "list") & F.col("link_uri").isNotNull()
+    out = linked.withColumn("content", F.when(wraps, F.concat(F.lit("["), "content", F.lit("]("), "link_uri", F.lit(")"))).otherwise(F.col("content")))
+    return out.withColumn("link_uri", F.coalesce("link_uri", "_old")).select(*elements.columns)
+
+
+def confident(detections: DataFrame, least: float = DEFAULT.detection_confidence, class_id: int | None = None) -> DataFrame:
+    """Detections of at least that confidence, and of one class if it is named."""
+    kept = detections.filter(F.col("confidence") >= least)
+    return kept if class_id is None else kept.filter(F.col("class_id") == class_id)
+
+
+def by_confidence(detections: DataFrame) -> DataFrame:
+    return detections.orderBy(*PAGE, F.desc("confidence"), "ord")
+
+
+def by_position(detections: DataFrame) -> DataFrame:
+    return detections.orderBy(*PAGE, "y1", "x1", "ord")
+
+
+def fuse_detections(elements: DataFrame, detections: DataFrame | None, config: Config = DEFAULT) -> DataFrame:
+    """Rule-based elements, corrected by a layout model's detections where there are any; without them as they are."""
+    if detections is None:
+        return elements
+    return best_detections(elements, confident(detections, config.detection_confidence), config).drop("class_id", "class_conf")

@@ -21,7 +21,7 @@ def write_markdown(docs: DataFrame, folder: str) -> None:
 
 def placed(rows: DataFrame, folder: str, kind) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("ord"))
-    stem = F.regexp_replace(F.regexp_extract(F.col("doc_id").cast("string"), r"([^/]*)$", 1), r"[^A-Za-z0-9_-]", "_")
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_extract(F.col("doc_id").cast("string"), r"([^/]*)$", 1), r"\.\w+$", ""), r"[^A-Za-z0-9_-]", "_")
     return rows.withColumn("path", F.format_string("images/%s_p%d_%d.%s", stem, "page", nth, kind))
 
 

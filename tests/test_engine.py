@@ -226,3 +226,56 @@ def test_tables(spark):
     b = spark.createDataFrame(rows, "doc_id int, page int, ord int, x double, y double, text string")
     cells = {(r.row, r.col): r.content for r in tables.table_cells(b).collect()}
     assert cells == {(i // 3, i % 3): f"c{i}" for i in range(6)}
+
+
+def test_links_and_detections(spark):
+    e = frame(spark, [element("here", 10, 10, 100, 10), element("there", 10, 30, 100, 10)])
+    links = spark.createDataFrame([(1, 0, 0, "u", 10.0, 10.0, 110.0, 20.0), (1, 0, 1, "v", 10.0, 10.0, 110.0, 20.0)], "doc_id int, page int, link_ord int, uri string, x1 double, y1 double, x2 double, y2 double")
+    assert [r.content for r in layout.link_elements(e, links).orderBy("ord").collect()] == ["[here](u)", "there"]
+    found = spark.createDataFrame([(1, 0, 0, 10.0, 10.0, 110.0, 20.0, 0.9, 5), (1, 0, 1, 10.0, 30.0, 110.0, 40.0, 0.1, 0)], "doc_id int, page int, ord int, x1 double, y1 double, x2 double, y2 double, confidence double, class_id int")
+    assert [r.type for r in layout.fuse_detections(e, found).orderBy("ord").collect()] == ["table", "paragraph"]
+    assert layout.confident(found, 0.25, 0).count() == 0 and layout.fuse_detections(e, None) is e
+
+
+def test_models_and_metrics(spark, tmp_path, monkeypatch):
+    from folioframe.sources import models
+    from folioframe.sources.pdf import afm
+
+    (tmp_path / "dict.txt").write_text("a\n\nb\n")
+    assert [tuple(r) for r in models.dictionary(spark, f"{tmp_path}/dict.txt").collect()] == [(1, "a"), (2, "b")]
+    monkeypatch.setenv("SOME_MODEL", f"{tmp_path}/dict.txt")
+    assert models.find("x.onnx", variable="SOME_MODEL") == f"{tmp_path}/dict.txt" and models.find("x.onnx", folder=str(tmp_path)) is None
+    assert models.compose(lambda v: v + 1, lambda v: v * 2)(3) == 8
+    (tmp_path / "Some.afm").write_text("StartFontMetrics 4.1\nC 32 ; WX 278 ; N space ; B 0 0 0 0 ;\nC 65 ; WX 667 ; N A ; B 14 0 654 718 ;\n")
+    assert {(r.font, r.code, r.width) for r in afm.metrics(spark, str(tmp_path)).collect()} == {("Some", 32, 278.0), ("Some", 65, 667.0)}
+    assert afm.widths((tmp_path / "Some.afm").read_text()) == {" ": 278.0, "A": 667.0}
+
+
+def test_encrypted_file():
+    import hashlib
+
+    body, ident, p = write([[("Helvetica", 12, 72, 700, "secret")]], compress=False), b"0123456789abcdef", -44
+    o = bytes(range(32))
+    key = hashlib.md5(crypt.PAD + o + (p & 0xFFFFFFFF).to_bytes(4, "little") + ident).digest()[:5]
+    u = crypt.rc4(key, crypt.PAD)
+    start = body.index(b"stream\n") + 7
+    end = body.index(b"\nendstream")
+    num = int(body[: body.rindex(b" 0 obj", 0, start)].rsplit(b"\n", 1)[-1])
+    own = hashlib.md5(key + num.to_bytes(3, "little") + b"\0\0").digest()[:10]
+    locked = body[:start] + crypt.rc4(own, body[start:end]) + body[end:]
+    enc = b"/Encrypt << /Filter /Standard /V 1 /R 2 /P -44 /O <" + o.hex().encode() + b"> /U <" + u.hex().encode() + b"> >> /ID [<" + ident.hex().encode() + b"> <00>] /Root"
+    page = next(scan.page_content(locked.replace(b"/Root", enc, 1)))
+    assert page["error"] is None and page["blocks"][0]["text"] == "secret"
+    bad = enc.replace(u.hex().encode(), (b"00" * 32))
+    assert "password" in next(scan.page_content(locked.replace(b"/Root", bad, 1)))["error"]
+
+
+def test_svg_and_saved_images(spark, tmp_path):
+    from folioframe.operators import sinks
+
+    ops = [("M", [(0.0, 0.0)]), ("C", [(1.0, 1.0), (2.0, 2.0), (9.0, 9.0)])]
+    g = spark.createDataFrame([("d/x.pdf", 1, 0, "Path1", ops, 1.0, True, False, 0.0, 0.0, 10.0, 10.0), ("d/x.pdf", 1, 1, "Path2", ops[:1], 1.0, True, False, 0.0, 0.0, 10.0, 10.0)], "doc_id string, page int, ord int, id string, ops array<struct<op:string,points:array<struct<x:double,y:double>>>>, line_width double, is_stroked boolean, is_filled boolean, x double, y double, width double, height double")
+    paths = [r.id for r in sinks.save_graphics(g, str(tmp_path)).orderBy("ord").collect()]
+    assert paths[0] == "images/x_p1_1.svg" and (tmp_path / paths[0]).read_text().startswith("<svg")
+    i = spark.createDataFrame([("../../etc", 1, 0, "../evil", bytearray(b"png"), "png", 0.0, 0.0, 1.0, 1.0)], "doc_id string, page int, ord int, id string, data binary, format string, x double, y double, width double, height double")
+    assert [r.id for r in sinks.save_images(i, str(tmp_path)).collect()] == ["images/etc_p1_1.png"]
