@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
+
+from ..functions import edits
 
 BLANKS = r"[\s\p{Z}\x{85}]+"
 HEADING = r"(?m)^(#{1,6})\s+(.*)$"
@@ -13,11 +17,17 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), BLANKS, " "))
 
 
+@F.arrow_udf(LongType())
+def edit_distance(a: pa.Array, b: pa.Array) -> pa.Array:
+    """Of whole texts, whatever their length: the built-in levenshtein takes time and memory with the product of the lengths."""
+    return edits.distances(a, b)
+
+
 def similarity(gen: Column, gt: Column) -> Column:
     """1 - edit distance / longer length of the normalised texts; 1 for two empty ones, 0 if one is."""
     a, b = normalised(gen), normalised(gt)
     longest = F.greatest(F.char_length(a), F.char_length(b))
-    return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(1 - F.levenshtein(a, b) / longest)
+    return F.when((a == "") & (b == ""), 1.0).when((a == "") | (b == ""), 0.0).otherwise(1 - edit_distance(a, b) / longest)
 
 
 def words(text: Column) -> Column:

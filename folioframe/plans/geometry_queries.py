@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import boxes as B
@@ -87,10 +88,10 @@ def table_markdown(spark, sf_dir):
     return T.table_markdown(T.table_cells(boxes(spark, sf_dir)))
 
 
-@query(BOXES + ", p as (select doc_id, page, list_sort(list(distinct x)) as ps from boxes where ord % 2 = 0 group by all) select doc_id, page, ord, cast(greatest(0, least(len(list_filter(ps, lambda v: v <= x + width / 2)) - 1, len(ps) - 2)) as integer) as cell from boxes join p using (doc_id, page)")
+@query(BOXES + ", p as (select doc_id, page, list_sort(list(distinct x)) as ps from boxes group by all) select doc_id, page, ord, cast(greatest(0, least(len(list_filter(ps, lambda v: v <= x + width / 2)) - 1, len(ps) - 2)) as integer) as cell from boxes join p using (doc_id, page)")
 def cell_assignment(spark, sf_dir):
     b = boxes(spark, sf_dir)
-    p = b.filter("ord % 2 = 0").groupBy("doc_id", "page").agg(F.array_sort(F.collect_set("x")).alias("ps"))
+    p = b.groupBy("doc_id", "page").agg(F.array_sort(F.collect_set("x")).alias("ps"))
     return b.join(p, ["doc_id", "page"]).select("doc_id", "page", "ord", T.cell_of(F.col("x") + F.col("width") / 2, F.col("ps")).alias("cell"))
 
 
@@ -149,26 +150,26 @@ def trivial_graphics(spark, sf_dir):
 
 @query(
     BOXES
-    + """, f as (select *, 5.0 as x0, y + height * 60 as y2, x + width * 3 as x2 from boxes where ord % 3 = 1)
-select doc_id, page, ord, printf('M %.2f %.2f L %.2f %.2f', 5.0::double, height - 0 + 5, width * 3 + 5, height - 0.2::double + 5) as path from f"""
+    + """, f as (select *, ord % 3 as k, printf('%.2f %.2f', 5.0::double, height + 5) as p00, printf('%.2f %.2f', width * 3 + 5, height + 5) as p10, printf('%.2f %.2f', width * 3 + 5, height - height * 60 + 5) as p11, printf('%.2f %.2f', 5.0::double, height - height * 60 + 5) as p01 from boxes)
+select doc_id, page, ord, case k when 0 then concat('M ', p00, ' L ', p10, ' L ', p11, ' L ', p01, ' Z') when 1 then concat('M ', p00, ' L ', printf('%.2f %.2f', width * 3 + 5, height - 0.2::double + 5)) else concat('M ', p00, ' L ', p10, ' C ', p00, ' ', p11, ' ', p01, ' Z') end as path from f"""
 )
 def svg_path(spark, sf_dir):
-    g = graphics(spark, sf_dir).filter("ord % 3 = 1")
+    g = graphics(spark, sf_dir)
     return g.select("doc_id", "page", "ord", B.svg_path(F.col("ops"), F.col("height"), F.col("x"), F.col("y")).alias("path"))
 
 
 @query(
     BOXES
-    + """, p as (select a.doc_id, a.page, a.ord as a, b.ord as b, least(a.x + a.width, b.x + b.width) - greatest(a.x, b.x) as w, least(a.y + a.height, b.y + b.height) - greatest(a.y, b.y) as h, a.width * a.height + b.width * b.height as s,
- b.x between a.x and a.x + a.width and b.y between a.y and a.y + a.height as holds from boxes a join boxes b on a.doc_id = b.doc_id and a.page = b.page and a.ord < b.ord and a.doc_id < 50)
+    + """, e as (select doc_id, page, ord as a, lead(ord) over o as b, x as a_x, y as a_y, x + width as a_x2, y + height as a_y2, lead(x) over o as b_x, lead(y) over o as b_y, lead(x + width) over o as b_x2, lead(y + height) over o as b_y2 from boxes window o as (partition by doc_id, page order by ord)),
+p as (select doc_id, page, a, b, least(a_x2, b_x2) - greatest(a_x, b_x) as w, least(a_y2, b_y2) - greatest(a_y, b_y) as h, (a_x2 - a_x) * (a_y2 - a_y) + (b_x2 - b_x) * (b_y2 - b_y) as s, b_x between a_x and a_x2 and b_y between a_y and a_y2 as holds from e where b is not null)
 select doc_id, page, a, b, round(case when w <= 0 or h <= 0 or s - w * h <= 0 then 0.0::double else w * h / (s - w * h) end, 9) as iou, w > 0 and h > 0 as overlap, holds from p"""
 )
 def box_predicates(spark, sf_dir):
-    one = boxes(spark, sf_dir).filter("doc_id < 50").select("doc_id", "page", "ord", "x", "y", (F.col("x") + F.col("width")).alias("x2"), (F.col("y") + F.col("height")).alias("y2"))
-    names = ("x", "y", "x2", "y2")
-    both = one.alias("a").join(one.alias("b"), (F.col("a.doc_id") == F.col("b.doc_id")) & (F.col("a.page") == F.col("b.page")) & (F.col("a.ord") < F.col("b.ord")))
-    a, b = [F.col(f"a.{c}") for c in names], [F.col(f"b.{c}") for c in names]
-    return both.select(F.col("a.doc_id").alias("doc_id"), F.col("a.page").alias("page"), F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), F.round(B.iou(*a, *b), 9).alias("iou"), B.overlaps(*a, *b).alias("overlap"), B.contains(*a, b[0], b[1]).alias("holds"))
+    """Each box with the next one on its page."""
+    one = boxes(spark, sf_dir).select("doc_id", "page", F.struct("ord", "x", "y", (F.col("x") + F.col("width")).alias("x2"), (F.col("y") + F.col("height")).alias("y2")).alias("a"))
+    both = one.withColumn("b", F.lead("a").over(Window.partitionBy("doc_id", "page").orderBy("a.ord"))).filter("b is not null")
+    a, b = ([F.col(f"{side}.{c}") for c in ("x", "y", "x2", "y2")] for side in "ab")
+    return both.select("doc_id", "page", F.col("a.ord").alias("a"), F.col("b.ord").alias("b"), F.round(B.iou(*a, *b), 9).alias("iou"), B.overlaps(*a, *b).alias("overlap"), B.contains(*a, b[0], b[1]).alias("holds"))
 
 
 @query(

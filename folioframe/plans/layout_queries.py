@@ -97,7 +97,7 @@ def link_blocks(spark, sf_dir):
 
 @query(
     BLOCKS
-    + """, g as (select doc_id, page, 0 as go, 60.0 as gx, 600.0 as gy, 300.0 as gw, 120.0 as gh from (select distinct doc_id, page from blocks) union all select doc_id, page, 1, 60.0, 700.0, 200.0, 60.0 from (select distinct doc_id, page from blocks) where doc_id % 2 = 0),
+    + """, g as (select doc_id, page, 0 as go, 60.0 as gx, 600.0 as gy, 300.0 as gw, 120.0 as gh from (select distinct doc_id, page from blocks) union all select doc_id, page, 1, 60.0, 700.0, 200.0, 60.0 from (select distinct doc_id, page from blocks)),
 f as (select * from g where not exists (select 1 from blocks b where b.doc_id = g.doc_id and b.page = g.page and b.font_size >= 0.9 * 16 and b.x + b.width / 2 between gx and gx + gw and b.y between gy and gy + gh))
 select doc_id, ord from blocks b where not exists (select 1 from f where f.doc_id = b.doc_id and f.page = b.page and b.font_size < 0.7 * 16 and b.x + b.width / 2 between gx and gx + gw and b.y between gy and gy + gh)"""
 )
@@ -105,7 +105,7 @@ def figure_label_drop(spark, sf_dir):
     b = blocks(spark, sf_dir)
     pages = b.select("doc_id", "page").distinct()
     box = lambda df, o, *v: df.select("doc_id", "page", F.lit(o).alias("ord"), *(F.lit(float(x)).alias(c) for c, x in zip(("x", "y", "width", "height"), v)))
-    graphics = box(pages, 0, 60, 600, 300, 120).union(box(pages.filter("doc_id % 2 = 0"), 1, 60, 700, 200, 60))
+    graphics = box(pages, 0, 60, 600, 300, 120).union(box(pages, 1, 60, 700, 200, 60))
     return L.drop_figure_text(b, graphics, F.lit(16.0)).select("doc_id", "ord")
 
 
@@ -273,12 +273,12 @@ def word_breaks(spark, sf_dir):
 
 @query(
     BLOCKS
-    + """, d as (select doc_id, page, ord as d_ord, x + 5 as x1, y - 2 as y1, x + width * 0.9 as x2, y + height as y2, ((ord * 37 + doc_id) % 100) / 100.0::double as confidence, cast((ord + doc_id) % 10 as integer) as class_id from blocks where ord % 2 = 0),
+    + """, d as (select doc_id, page, ord as d_ord, x + 5 as x1, y - 2 as y1, x + width * 0.9 as x2, y + height as y2, ((ord * 37 + doc_id) % 100) / 100.0::double as confidence, cast((ord + doc_id) % 10 as integer) as class_id from blocks),
 c as (select b.doc_id, b.ord, d_ord, confidence, class_id, (least(b.x + b.width, x2) - greatest(b.x, x1)) as w, (least(b.y + b.height, y2) - greatest(b.y, y1)) as h, b.width * b.height + (x2 - x1) * (y2 - y1) as s from blocks b join d using (doc_id, page)),
 v as (select *, case when w > 0 and h > 0 and s - w * h > 0 then w * h / (s - w * h) else 0 end as v from c), m as (select doc_id, ord, arg_max({'c': class_id, 'f': confidence}, (v, -d_ord)) as m from v where v > 0.3 group by all)
 select b.doc_id, b.ord, cast(m.c as integer) as class_id, case when m.f >= 0.5 and m.c <> 2 then ['header', 'paragraph', '', 'figure', 'caption', 'table', 'caption', 'footnote', 'equation', 'caption'][m.c + 1] else 'paragraph' end as type from blocks b left join m using (doc_id, ord)"""
 )
 def detection_match(spark, sf_dir):
     b = blocks(spark, sf_dir)
-    d = b.filter("ord % 2 = 0").selectExpr("doc_id", "page", "ord", "x + 5 as x1", "y - 2 as y1", "x + width * 0.9D as x2", "y + height as y2", "((ord * 37 + doc_id) % 100) / 100D as confidence", "cast((ord + doc_id) % 10 as int) as class_id")
+    d = b.selectExpr("doc_id", "page", "ord", "x + 5 as x1", "y - 2 as y1", "x + width * 0.9D as x2", "y + height as y2", "((ord * 37 + doc_id) % 100) / 100D as confidence", "cast((ord + doc_id) % 10 as int) as class_id")
     return L.best_detections(L.as_elements(b), d).select("doc_id", "ord", "class_id", "type")

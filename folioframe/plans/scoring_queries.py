@@ -31,11 +31,11 @@ def scoring_rollup(spark, sf_dir):
 
 
 @query(
-    "with s as (select doc_id, regexp_replace(substr(text, 1, 200), '[^ -~]', '?', 'g') as a from documents where text is not null), n as (select doc_id, trim(regexp_replace(lower(a), '[\\s]+', ' ', 'g')) as a, trim(regexp_replace(lower(replace(a, 'th', 't')), '[\\s]+', ' ', 'g')) as b from s) "
+    "with s as (select doc_id, regexp_replace(text, '[^ -~]', '?', 'g') as a from documents where text is not null), n as (select doc_id, trim(regexp_replace(lower(a), '[\\s]+', ' ', 'g')) as a, trim(regexp_replace(lower(replace(a, 'th', 't')), '[\\s]+', ' ', 'g')) as b from s) "
     "select doc_id, case when a = '' and b = '' then 1.0::double when a = '' or b = '' then 0.0::double else round(1 - levenshtein(b, a) / greatest(length(a), length(b))::double, 9) end as similarity from n"
 )
 def edit_similarity(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.regexp_replace(F.substring("text", 1, 200), "[^ -~]", "?").alias("a"))
+    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.regexp_replace("text", "[^ -~]", "?").alias("a"))
     return docs.select("doc_id", F.round(S.similarity(F.replace("a", F.lit("th"), F.lit("t")), F.col("a")), 9).alias("similarity"))
 
 

@@ -1,8 +1,11 @@
 """Known cases of the layout, scoring, vision and page-scan operators."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
+from folioframe.functions import edits
 from folioframe.functions import markdown as M
 from folioframe.functions import predicates as P
 from folioframe.functions.dialect import SPARK
@@ -279,3 +282,35 @@ def test_svg_and_saved_images(spark, tmp_path):
     assert paths[0] == "images/x_p1_1.svg" and (tmp_path / paths[0]).read_text().startswith("<svg")
     i = spark.createDataFrame([("../../etc", 1, 0, "../evil", bytearray(b"png"), "png", 0.0, 0.0, 1.0, 1.0)], "doc_id string, page int, ord int, id string, data binary, format string, x double, y double, width double, height double")
     assert [r.id for r in sinks.save_images(i, str(tmp_path)).collect()] == ["images/etc_p1_1.png"]
+
+
+def brute_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+@pytest.mark.parametrize("band", [1, 3, 64])
+def test_edit_distance(monkeypatch, band):
+    monkeypatch.setattr(edits, "LEAST_BAND", band)
+    r = random.Random(band)
+    for n in range(1500):
+        a = "".join(r.choice("abcé") for _ in range(r.randint(0, 14)))
+        b = "".join(r.choice("abcd") for _ in range(r.randint(0, 14))) if n % 2 else "".join(c for c in a if r.random() > 0.2)
+        assert edits.distance(a, b) == brute_distance(a, b)
+
+
+def test_edit_distance_of_long_texts():
+    a = "the quick brown fox jumps over the lazy dog. " * 4000
+    assert edits.distance(a, a) == 0
+    assert edits.distance(a, a.replace("quick", "quack")) == 4000
+    assert edits.distance("", a) == len(a)
+
+
+def test_similarity(spark):
+    rows = spark.createDataFrame([("a b", "A  b"), ("", ""), ("", "x"), ("abcd", "abce"), (None, "x")], "gen string, gt string")
+    assert [r[0] for r in rows.select(scoring.similarity(F.col("gen"), F.col("gt"))).collect()] == [1.0, 1.0, 0.0, 0.75, None]
