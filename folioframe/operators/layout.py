@@ -67,12 +67,18 @@ def gutter(blocks: DataFrame, start: Column, end: Column, bins: int, size: float
     b = blocks.select(*PAGE, start.alias("a"), end.alias("b"))
     b = b.withColumn("a0", F.min("a").over(Window.partitionBy(*PAGE)))
     b = b.select(*PAGE, F.floor((F.col("a") - F.col("a0")) / size).alias("s"), F.floor((F.col("b") - F.col("a0")) / size).alias("e"))
-    # the histogram as running sums of starts and ends: two rows a block, however wide it is
-    ends = b.select(*PAGE, F.inline(F.array(F.struct(F.col("s").alias("bin"), F.lit(1).alias("d")), F.struct((F.col("e") + 1).alias("bin"), F.lit(-1).alias("d"))))).groupBy(*PAGE, "bin").agg(F.sum("d").alias("d"))
+    # The histogram is a step function and a window's sum is linear between the places where either end of it meets a step,
+    # so its first minimum is at one of these: some rows a block, however wide it is.
+    steps = b.select(*PAGE, F.inline(F.array(F.struct(F.col("s").alias("bin"), F.lit(1).alias("d")), F.struct((F.col("e") + 1).alias("bin"), F.lit(-1).alias("d")))))
+    near = F.array(*(F.struct((F.col("bin") + k).alias("bin"), (F.col("d") if k == 0 else F.lit(0)).alias("d")) for k in (-bins, 0, bins)))
+    places = steps.groupBy(*PAGE, "bin").agg(F.sum("d").alias("d")).select(*PAGE, F.inline(near)).groupBy(*PAGE, "bin").agg(F.sum("d").alias("d"))
     w = Window.partitionBy(*PAGE).orderBy("bin")
-    runs = ends.select(*PAGE, "bin", F.sum("d").over(w).alias("n"), F.lead("bin").over(w).alias("next")).filter("next is not null")
-    dense = runs.select(*PAGE, F.explode(F.sequence("bin", F.col("next") - 1)).alias("bin"), "n")
-    win = dense.select(*PAGE, "bin", F.sum("n").over(w.rowsBetween(0, bins - 1)).alias("density"), F.count("*").over(w.rowsBetween(0, bins - 1)).alias("k")).filter(F.col("k") == bins)
+    level = places.select(*PAGE, "bin", F.sum("d").over(w).alias("n"))
+    area = level.select(*PAGE, "bin", F.coalesce(F.lag("n").over(w) * (F.col("bin") - F.lag("bin").over(w)), F.lit(0)).alias("area"))
+    upto = area.select(*PAGE, "bin", F.sum("area").over(w).alias("upto"))
+    win = upto.select(*PAGE, "bin", (F.max("upto").over(w.rangeBetween(bins, bins)) - F.col("upto")).alias("density"), F.max("bin").over(Window.partitionBy(*PAGE)).alias("top"))
+    # inside the page's extent, whose end is `bins` below the last place; a place without another one at the window's end is none of the above
+    win = win.filter((F.col("bin") >= 0) & (F.col("bin") <= F.col("top") - 2 * bins) & F.col("density").isNotNull())
     return win.groupBy(*PAGE).agg(F.min_by("bin", F.struct("density", "bin")).alias("bin"), F.min("density").alias("density"))
 
 
