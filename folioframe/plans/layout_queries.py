@@ -20,7 +20,7 @@ TYPED = BLOCKS + f", elements as (select doc_id, page, ord, {KIND.format(div='//
 
 
 def blocks(spark, sf_dir):
-    return derived.text_blocks(table(spark, sf_dir, "documents"))
+    return derived.text_blocks(table(spark, sf_dir, "documents", spread=True))
 
 
 def elements(spark, sf_dir):

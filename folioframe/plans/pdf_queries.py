@@ -28,7 +28,7 @@ def written_pages(batches):
 
 
 def files(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(written_pages, "path long, content binary")
+    return table(spark, sf_dir, "documents", spread=True).select("doc_id", "text").mapInArrow(written_pages, "path long, content binary")
 
 
 @query(
@@ -55,7 +55,7 @@ def encoded_twice(batches):
 
 @query("select doc_id, f as filter, md5(coalesce(text, '')) as digest from documents, (values ('flate'), ('hex'), ('a85'), ('both'), ('runs')) as v(f)")
 def filters_roundtrip(spark, sf_dir):
-    rows = table(spark, sf_dir, "documents").select("doc_id", "text").mapInArrow(encoded_twice, "doc_id long, r array<struct<filter:string,text:string>>")
+    rows = table(spark, sf_dir, "documents", spread=True).select("doc_id", "text").mapInArrow(encoded_twice, "doc_id long, r array<struct<filter:string,text:string>>")
     return rows.select("doc_id", F.inline("r")).select("doc_id", "filter", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 

@@ -11,7 +11,7 @@ PAIRS = "with p as (select lang || '/' || doc_id as file, lang as subset, source
 
 
 def pairs(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    docs = table(spark, sf_dir, "documents", spread=True).filter("text is not null")
     gen = F.replace(F.replace("text", F.lit(" the "), F.lit(" teh ")), F.lit(" de "), F.lit(" "))
     return docs.select(F.concat_ws("/", "lang", F.col("doc_id").cast("string")).alias("file"), F.col("lang").alias("subset"), "source", F.col("text").alias("gt"), gen.alias("gen"))
 
@@ -35,7 +35,7 @@ def scoring_rollup(spark, sf_dir):
     "select doc_id, case when a = '' and b = '' then 1.0::double when a = '' or b = '' then 0.0::double else round(1 - levenshtein(b, a) / greatest(length(a), length(b))::double, 9) end as similarity from n"
 )
 def edit_similarity(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.regexp_replace("text", "[^ -~]", "?").alias("a"))
+    docs = table(spark, sf_dir, "documents", spread=True).filter("text is not null").select("doc_id", F.regexp_replace("text", "[^ -~]", "?").alias("a"))
     return docs.select("doc_id", F.round(S.similarity(F.replace("a", F.lit("th"), F.lit("t")), F.col("a")), 9).alias("similarity"))
 
 
@@ -50,7 +50,7 @@ select file as doc_id, count(*) filter (b <> '' and (file, a || b) in (select (f
        count(*) filter ((file, a) in (select (file, w) from c) and (file, a) not in (select (file, w) from v)) as n_glued from n group by file"""
 )
 def spacing_errors(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").filter("text is not null")
+    docs = table(spark, sf_dir, "documents", spread=True).filter("text is not null")
     gen = F.regexp_replace(F.regexp_replace("text", "(([^ ]+ ){6}[^ ]+) ", "$1"), "(([^ ]+ ){9}[^ ]{3})([^ ])", "$1 $3")
     return S.spacing_errors(docs.select(F.col("doc_id").alias("file"), F.col("text").alias("gt"), gen.alias("gen"))).withColumnRenamed("file", "doc_id")
 

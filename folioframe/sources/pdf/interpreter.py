@@ -121,9 +121,11 @@ class Interpreter:
                         text += " "
             elif isinstance(item, bytes):
                 began = True
-                for code, n in font.codes(item) if font else ((c, 1) for c in item):
-                    text += font.decode(code) if font else chr(code)
-                    moved += ((font.width(code) if font else 500.0) / 1000 * size + s["Tc"] + (s["Tw"] if n == 1 and code == 32 else 0)) * scale
+                codes = list(font.codes(item)) if font else [(c, 1) for c in item]
+                text += "".join([font.decode(c) if font else chr(c) for c, _ in codes])
+                advance = sum([font.width(c) for c, _ in codes]) if font else 500.0 * len(codes)
+                words = sum([n == 1 and c == 32 for c, n in codes])
+                moved += (advance / 1000 * size + s["Tc"] * len(codes) + s["Tw"] * words) * scale
         if text or not array and began:
             m = times((1, 0, 0, 1, 0, s["Ts"]), times(start, self.ctm))
             full = times(start, self.ctm)

@@ -32,7 +32,9 @@ class Op(str):
 
 SPACE, DELIMITERS = b"\0\t\n\f\r ", b"()<>[]{}/%"
 REGULAR = re.compile(rb"[^\0\t\n\f\r ()<>\[\]{}/%]*")
-BLANKS = re.compile(rb"(?:[\0\t\n\f\r ]|%[^\r\n]*)*")
+BLANKS = re.compile(rb"(?:[\0\t\n\f\r ]++|%[^\r\n]*+)*+")  # possessive: nothing to try again in a hostile file
+REFERENCE = re.compile(BLANKS.pattern + rb"([0-9]+)(?![^\0\t\n\f\r ()<>\[\]{}/%])" + BLANKS.pattern + rb"R(?![^\0\t\n\f\r ()<>\[\]{}/%])")
+PLAIN = re.compile(rb"[^\\()]+")
 ESCAPES = {ord("n"): 10, ord("r"): 13, ord("t"): 9, ord("b"): 8, ord("f"): 12}
 END = Op("")
 
@@ -80,6 +82,10 @@ class Lexer:
     def string(self) -> bytes:
         d, i, depth, out = self.data, self.at + 1, 1, bytearray()
         while i < len(d):
+            if m := PLAIN.match(d, i):
+                out += m[0]
+                i = m.end()
+                continue
             c = d[i]
             if c == 0x5C:
                 i += 1
@@ -103,8 +109,6 @@ class Lexer:
                     self.at = i + 1
                     return bytes(out)
                 out.append(c)
-            else:
-                out.append(c)
             i += 1
         raise PdfError("a string does not end")
 
@@ -114,11 +118,9 @@ class Lexer:
             raise PdfError("objects are nested too deeply")
         if not isinstance(t, Op):
             if type(t) is int and t >= 0:  # n g R
-                back = self.at
-                g = self.token()
-                if type(g) is int and self.token() == "R":
-                    return Ref(t, g)
-                self.at = back
+                if m := REFERENCE.match(self.data, self.at):
+                    self.at = m.end()
+                    return Ref(t, int(m[1]))
             return t
         if t == "[":
             out = []

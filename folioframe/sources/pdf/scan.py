@@ -18,6 +18,7 @@ GRAPHIC = "ord int, id string, ops array<struct<op:string,points:array<struct<x:
 LINK = "ord int, uri string, x1 double, y1 double, x2 double, y2 double"
 nested = lambda s: "array<struct<" + ",".join(f.replace(" ", ":", 1) for f in s.split(", ")) + ">>"
 SCHEMA = f"page int, page_width double, page_height double, error string, blocks {nested(BLOCK)}, images {nested(IMAGE)}, graphics {nested(GRAPHIC)}, links {nested(LINK)}"
+ROWS = 10_000  #: blocks, pages and kilobytes of images that a batch of pages holds, or one page more
 NAMES = ["page", "page_width", "page_height", "error", "blocks", "images", "graphics", "links"]
 
 
@@ -69,10 +70,17 @@ def scan(files: DataFrame, content: str = "content", key: str = "path", password
 
     def run(batches):
         for batch in batches:
-            kind = batch.column("doc_id").type
-            for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("content").to_pylist()):
-                pages = [{"doc_id": doc_id} | p for p in page_content(data or b"", password)]
-                yield pa.RecordBatch.from_pylist(pages, pa.schema([("doc_id", kind), *arrow_fields()]))
+            schema = pa.schema([("doc_id", batch.column("doc_id").type), *arrow_fields()])
+            held, size = [], 0
+            for doc_id, data in zip(batch.column("doc_id").to_pylist(), batch.column("content")):
+                data = data.as_py() or b""
+                for page in page_content(data, password):
+                    held.append({"doc_id": doc_id} | page)
+                    size += 1 + len(page["blocks"]) + sum(len(x["data"] or b"") for x in page["images"]) // 1000
+                    if size >= ROWS:
+                        yield pa.RecordBatch.from_pylist(held, schema)
+                        held, size = [], 0
+            yield pa.RecordBatch.from_pylist(held, schema)
 
     return rows.mapInArrow(run, schema)
 
