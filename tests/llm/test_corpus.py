@@ -218,6 +218,20 @@ def test_near_duplicates_with_edits_and_a_common_passage(spark):
     assert classes == {i: i - i % 2 for i, _ in rows}
 
 
+def test_near_duplicates_with_scattered_edits(spark):
+    g = np.random.default_rng(5)
+    make = lambda n: [f"w{x}" for x in g.integers(0, 10**6, n)]
+    rows = []
+    for k in range(120):
+        n = (6, 10, 25, 60, 100, 300)[k % 6]
+        own = make(n)
+        at = set(g.choice(n, max(1, int(n * 0.17)), replace=False).tolist())
+        rows += [(2 * k, " ".join(own)), (2 * k + 1, " ".join(f"edit{k}x{i}" if i in at else x for i, x in enumerate(own)))]
+    df = spark.createDataFrame(rows, "doc_id int, text string")
+    classes = {r.id: r.class_id for r in near_dedup.near_duplicates(df).collect()}
+    assert classes == {i: i - i % 2 for i, _ in rows}
+
+
 def test_banded_distance():
     g = np.random.default_rng(0)
     for _ in range(500):
