@@ -232,6 +232,19 @@ def test_near_duplicates_with_scattered_edits(spark):
     assert classes == {i: i - i % 2 for i, _ in rows}
 
 
+def test_near_duplicates_behind_rejected_hubs(spark):
+    from pyspark.sql import types as T
+
+    # one key for all: unrelated texts come first, and the pairs are found behind them
+    g = np.random.default_rng(6)
+    texts = [g.integers(0, 2**32, 50, dtype=np.uint32) for _ in range(30)]
+    near = [np.where(np.arange(50) == 7, np.uint32(1), t) for t in texts[20:]]
+    rows = [(1, i, 50, t.tobytes()) for i, t in enumerate([*texts, *near])]
+    df = spark.createDataFrame([(k, i, n, bytearray(w)) for k, i, n, w in rows], T.StructType([T.StructField("k", T.LongType()), T.StructField("id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("w", T.BinaryType())]))
+    got = near_dedup.linked(df.select("k", "id", "n"), df.select("id", F.col("w").alias("words")), 0.8)
+    assert sorted(map(tuple, got.collect())) == [(20 + i, 30 + i) for i in range(10)]
+
+
 def test_banded_distance():
     g = np.random.default_rng(0)
     for _ in range(500):
