@@ -245,6 +245,16 @@ def test_near_duplicates_behind_rejected_hubs(spark):
     assert sorted(map(tuple, got.collect())) == [(20 + i, 30 + i) for i in range(10)]
 
 
+def test_rows_without_or_with_the_same_id_are_no_duplicates(spark):
+    g = np.random.default_rng(8)
+    make = lambda n: " ".join(f"w{x}" for x in g.integers(0, 10**6, n))
+    texts = [make(40) for _ in range(12)]
+    rows = [(None, t) for t in texts[:5]] + [(7, t) for t in texts[5:10]] + [(9, texts[0] + " more"), (7, texts[9]), (8, texts[10]), (8, texts[11]), (10, texts[11])]
+    stay = near_dedup.deduplicated(spark.createDataFrame(rows, "doc_id int, text string")).collect()
+    assert sorted((r.text for r in stay)) == sorted(texts)
+    assert sum(r.doc_id is None for r in stay) == 5 and sum(r.doc_id == 7 for r in stay) == 5
+
+
 def test_banded_distance():
     g = np.random.default_rng(0)
     for _ in range(500):
