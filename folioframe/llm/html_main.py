@@ -5,7 +5,7 @@ ratios are taken per path over all its blocks: characters of text per block, cha
 punctuation marks per block; each path's ratios are smoothed with those of its neighbours in order of first appearance
 (Gaussian weights over `NEAR` places each way) and fused by a product. Paths below the threshold (`SHARE` of the fused
 ratios' standard deviation) are dropped, unless they stand inside the content's root: the deepest element that holds
-most of the kept text. What is there is dropped only if its element says so: by tag (nav, header, footer, aside, form,
+nearly all of the kept text, or most of it. What is there is dropped only if its element says so: by tag (nav, header, footer, aside, form,
 script, style ...) or by a class, id or role that names an advert, menu, sidebar, notice, share bar or comment.
 
 Parsing is one pass of a regular expression over the page: it handles missing end tags, void elements, comments, raw text
@@ -47,7 +47,7 @@ TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACES = re.compile(r"[ \t\n\r\f\v]+")
 MARKS = re.compile(r"[.,;:!?。，！？…]")
-NEAR, SHARE = 1, 0.2
+NEAR, SHARE, NEARLY = 1, 0.2, 0.9
 
 
 class Block:
@@ -150,7 +150,7 @@ def blocks_of(page: str) -> list[Block]:
             continue
         tags.append(tag)
         nth += 1
-        numbers.append(nth)
+        numbers.append(-nth if tag in ("html", "body") else nth)  # so that any other element counts as deeper
         refusing.append(refused(tag, m[3]))
         state["refused"] += refusing[-1]
         state["links"] += tag == "a"
@@ -188,17 +188,16 @@ def main_text(page: str | None) -> str:
     limit = SHARE * math.sqrt(sum((x - mean) ** 2 for x in fused.values()) / len(fused))
     kept = [b for b in blocks if fused[b.path] >= limit]
     whole = sum(len(b.text) for b in kept)
-    # the deepest element with most of the kept text: what stands in it stays, whatever its own ratio
+    # what stands with the kept text stays, whatever its own ratio: in the deepest element with nearly all of it,
+    # or, if only the page's body has that, in the deepest with most of it
     held: dict[int, int] = {}
     for b in kept:
         for e in b.chain:
             held[e] = held.get(e, 0) + len(b.text)
-    most = [e for e, n in held.items() if 2 * n > whole]
-    root = max(most, default=0)
-    root_paths = [b for b in blocks if root in b.chain] if root else kept
-    if root and len(root_paths) == 1 and len(kept) > 1:
-        root_paths = kept
-    return "\n".join(b.text for b in root_paths)
+    root = max((e for e, n in held.items() if n >= NEARLY * whole), default=0)
+    if root <= 0:
+        root = max((e for e, n in held.items() if 2 * n > whole), default=0)
+    return "\n".join(b.text for b in blocks if fused[b.path] >= limit or root in b.chain)
 
 
 def extracted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -386,6 +386,16 @@ def test_html(spark):
     assert all(r.n_chars == len(r.text) for r in got.values()) and html_main.extract(df.limit(0)).count() == 0
 
 
+def test_html_keeps_all_parts_of_an_article():
+    line = "A sentence of the article, with some words and marks; it goes on, and ends."
+    part = lambda n, k: "<h2>Part</h2>" + "".join(f"<p>{i} {line}</p>" for i in range(k, k + n))
+    for page in (f"<body><article><section>{part(6, 0)}</section><section>{part(4, 6)}</section></article></body>", f"<body><section>{part(6, 0)}</section><section>{part(4, 6)}</section></body>"):
+        got = html_main.main_text(page).split("\n")
+        assert [x for x in got if x != "Part"] == [f"{i} {line}" for i in range(10)]
+    got = html_main.main_text(f"<body><div><p>a {line}</p><p>b {line * 9}<br>c {line * 9}</p><p>d {line}</p></div></body>").split("\n")
+    assert [x[0] for x in got] == ["a", "b", "c", "d"]
+
+
 @pytest.mark.parametrize("head", [10**6, 8])
 def test_lm(spark, docs, empty, head):
     marked = docs.withColumn("held_out", F.coalesce(language_id.remainder(F.col("doc_id"), 7) == 2, F.lit(False)))
