@@ -6,7 +6,8 @@ punctuation marks per block; each path's ratios are smoothed with those of its n
 (Gaussian weights over `NEAR` places each way) and fused by a product. Paths below the threshold (`SHARE` of the fused
 ratios' standard deviation) are dropped, unless they stand inside the content's root: the deepest element that holds
 nearly all of the kept text, or most of it. What is there is dropped only if its element says so: by tag (nav, header, footer, aside, form,
-script, style ...) or by a class, id or role that names an advert, menu, sidebar, notice, share bar or comment.
+script, style ...) or by a class, id or role that names an advert, menu, sidebar, notice, share bar or comment; a class or
+id does not count where the element holds most of the page's running text.
 
 Parsing is one pass of a regular expression over the page: it handles missing end tags, void elements, comments, raw text
 of script and style, and stray end tags. Nothing is recursive, and a page is worked on alone.
@@ -36,8 +37,10 @@ BLOCK = frozenset(
 )
 DROPPED = frozenset("nav header footer aside form menu dialog fieldset label legend noscript template iframe head".split())
 KINDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|nav\w*|menus?|breadcrumbs?|side-?bar\w*|foot\w*|masthead|topbar|comments?|commentlist|respond|replies|disqus\w*|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|sign-?up|cookies?\w*|consent|gdpr|notices?|alerts?|popups?|modals?|widgets?|tags?|pagination|pager|toolbar|skip|hidden|login|search)(?:$|[\s_-])", re.I
+    r"(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banners?|nav\w*|menus?|breadcrumbs?|side-?bar\w*|foot\w*|masthead|topbar|comments?|commentlist|respond|replies|disqus\w*|share|sharing|social|related|recommend\w*|newsletter|subscri\w*|sign-?up|cookies?\w*|consent|gdpr|notices?|alerts?|popups?|modals?|widgets?|tags?|pagination|pager|toolbar|skip|hidden|login|search)", re.I
 )
+#: Words that may stand beside those in a name; any other, as in "with-sidebar", makes it another name.
+BESIDE = frozenset("left right top bottom upper lower primary secondary global site page list box block area section wrapper wrap container inner outer content slot unit bar links link items item form main header".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog status note".split())
 #: End tags that may be missing: a start tag of the key closes an open element of the value, up to the nearest container.
 CLOSES = {k: frozenset(v.split()) for k, v in {"li": "li p", "dt": "dt dd p", "dd": "dt dd p", "tr": "tr td th p", "td": "td th p", "th": "td th p", "option": "option", "tbody": "thead tbody tfoot tr td th p", "tfoot": "thead tbody tfoot tr td th p"}.items()}
@@ -51,37 +54,53 @@ NEAR, SHARE, NEARLY = 1, 0.2, 0.9
 
 
 class Block:
-    __slots__ = ("text", "linked", "path", "chain")
+    __slots__ = ("text", "linked", "path", "chain", "doubted")
 
-    def __init__(self, text: str, linked: int, path: tuple[str, ...], chain: tuple[int, ...]):
-        self.text, self.linked, self.path, self.chain = text, linked, path, chain
+    def __init__(self, text: str, linked: int, path: tuple[str, ...], chain: tuple[int, ...], doubted: tuple[int, ...]):
+        self.text, self.linked, self.path, self.chain, self.doubted = text, linked, path, chain, doubted
 
 
-def refused(tag: str, attributes: str) -> bool:
-    """Whether the element itself says that it is no content."""
+def named(value: str) -> bool:
+    """Whether one of the names says that this is no content: all its parts must be such words, or go with them."""
+    for name in value.lower().split():
+        if KINDS.fullmatch(name):
+            return True
+        parts = [x for x in re.split("[_-]+", name) if x]
+        if any(KINDS.fullmatch(x) for x in parts) and all(x in BESIDE or KINDS.fullmatch(x) for x in parts):
+            return True
+    return False
+
+
+def refused(tag: str, attributes: str) -> int:
+    """Whether the element itself says that it is no content: 2, or 1 if only its name says so."""
     if tag in DROPPED:
-        return True
+        return 2
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return False
+        return 0
+    by_name = 0
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
-        if name in ("class", "id") and KINDS.search(value):
-            return tag not in ("html", "body", "article", "main")
+        if name in ("class", "id") and tag not in ("html", "body", "article", "main") and named(value):
+            by_name = 1 if tag in BLOCK else 2  # a piece of a block is not weighed
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return True
+            return 2
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return True
-    return False
+            return 2
+    return by_name
 
 
 def blocks_of(page: str) -> list[Block]:
-    """Blocks of visible text in page order, without those that an element around them refuses."""
+    """Blocks of visible text in page order, without those that an element around them refuses.
+
+    An element that is refused by its name stays if it holds most of the page's text outside links in blocks with marks,
+    unless an article or main element outside holds text.
+    """
     tags: list[str] = []  # open elements
     numbers: list[int] = []  # and which they are
     out: list[Block] = []
     pieces: list[str] = []
     state = {"linked": 0, "links": 0, "refused": 0}
-    refusing: list[bool] = []
+    refusing: list[int] = []
     nth = 0
 
     def end_block() -> None:
@@ -89,7 +108,7 @@ def blocks_of(page: str) -> list[Block]:
             text = SPACES.sub(" ", references.unescape("".join(pieces))).strip(" ")
             pieces.clear()
             if text and not state["refused"]:
-                out.append(Block(text, min(state["linked"], len(text)), tuple(t for t in tags if t in BLOCK), tuple(numbers)))
+                out.append(Block(text, min(state["linked"], len(text)), tuple(t for t in tags if t in BLOCK), tuple(numbers), tuple(e for e, r in zip(numbers, refusing) if r == 1)))
         state["linked"] = 0
 
     def close(upto: int) -> None:
@@ -99,7 +118,7 @@ def blocks_of(page: str) -> list[Block]:
         for _ in range(len(tags) - upto):
             tag = tags.pop()
             numbers.pop()
-            state["refused"] -= refusing.pop()
+            state["refused"] -= refusing.pop() == 2
             state["links"] -= tag == "a"
 
     at, n = 0, len(page)
@@ -152,11 +171,18 @@ def blocks_of(page: str) -> list[Block]:
         nth += 1
         numbers.append(-nth if tag in ("html", "body") else nth)  # so that any other element counts as deeper
         refusing.append(refused(tag, m[3]))
-        state["refused"] += refusing[-1]
+        state["refused"] += refusing[-1] == 2
         state["links"] += tag == "a"
     close(0)
     end_block()
-    return out
+    dense = [(b, len(b.text) - b.linked) for b in out if MARKS.search(b.text)]
+    held: dict[int, int] = {}
+    for b, n in dense:
+        for e in b.doubted:
+            held[e] = held.get(e, 0) + n
+    plain = any(t in ("article", "main") for b in out if not b.doubted for t in b.path)
+    most = set() if plain else {e for e, n in held.items() if 2 * n > sum(n for _, n in dense)}
+    return [b for b in out if most.issuperset(b.doubted)]
 
 
 def ratios(blocks: list[Block]) -> dict[tuple[str, ...], float]:

@@ -396,6 +396,19 @@ def test_html_keeps_all_parts_of_an_article():
     assert [x[0] for x in got] == ["a", "b", "c", "d"]
 
 
+@pytest.mark.parametrize("name", ["class='container with-sidebar'", "class='post tag-news'", "id='related-work'", "class='entry no-comments'", "class='widget'"])
+def test_html_names_of_wrappers(name):
+    line = "A sentence of the article, with some words and marks; it goes on, and ends."
+    got = html_main.main_text(f"<body><div class='sidebar-left'><p>Aside, and short.</p></div><div {name}>" + f"<p>{line}</p>" * 5 + "</div><div id='comments'><p>Nice, really nice!</p></div></body>")
+    assert got == "\n".join([line] * 5)
+
+
+def test_html_small_section_with_a_listed_word():
+    line = "A sentence of the article, with some words and marks; it goes on, and ends."
+    got = html_main.main_text(f"<body><article>{f'<p>{line}</p>' * 5}<section id='related-work'><p>Others, too, did this.</p></section></article></body>")
+    assert got.endswith("Others, too, did this.")
+
+
 @pytest.mark.parametrize("head", [10**6, 8])
 def test_lm(spark, docs, empty, head):
     marked = docs.withColumn("held_out", F.coalesce(language_id.remainder(F.col("doc_id"), 7) == 2, F.lit(False)))
