@@ -26,7 +26,7 @@ mit-0|identifier mit 0|s|spdx licen[cs]e identifier mit 0
 mit-0|mit no attribution|t|mit no attribution(?: licen[cs]e)?
 x11|x11|t|x11 licen[cs]e
 apache-2|apache|n|(?:licensed|released|distributed|available|published) under (?:the )?(?:terms of the )?apache licen[cs]e(?: version)? 2(?: 0)?
-apache-2|apache|n|you may not use this file except in compliance with the (?:apache )?licen[cs]e
+apache-2|except in compliance|n|you may not use this file except in compliance with the (?:apache )?licen[cs]e
 apache-2|apache|s|spdx licen[cs]e identifier apache 2 0
 apache-2|apache|s|(?:www )?apache org licen[cs]es licen[cs]e 2 0(?: txt| html)?
 apache-2|apache|t|apache (?:software )?licen[cs]e(?: version| v)? 2(?: 0)?
@@ -198,7 +198,7 @@ icu|icu licen|t|icu licen[cs]e
 unicode|unicode|t|unicode(?: data files and software)? licen[cs]e(?: agreement)?(?: v3)?
 blueoak|blue oak|t|blue oak model licen[cs]e(?: 1 0 0)?
 hippocratic|hippocratic|t|hippocratic licen[cs]e(?: 2 1| 3 0)?
-openrail|openrail|t|(?:creativeml )?(?:big ?science )?open ?rail(?: [m])?(?: licen[cs]e)?
+openrail|rail|t|(?:creativeml )?(?:big ?science )?open ?rail(?: [m])?(?: licen[cs]e)?
 llama|llama|t|llama (?:2 |3 |3 1 )?community licen[cs]e(?: agreement)?
 odbl|open database|n|(?:made available|licensed) under the open database licen[cs]e
 odbl|open database|t|open (?:data commons )?open database licen[cs]e
@@ -251,7 +251,7 @@ public-domain|public domain|g|public domain
 proprietary|all rights reserved|n|(?:copyright|copr) (?:c )?(?:[12][0-9]{3} )?[^ ]+(?: [^ ]+){0,6} all rights reserved
 proprietary|all rights reserved|g|all rights reserved
 proprietary|proprietary|t|proprietary (?:and confidential|software|licen[cs]e)
-proprietary|without prior written|n|may not be reproduced (?:in any form )?without (?:the )?(?:express )?prior written (?:permission|consent)
+proprietary|prior written|n|may not be reproduced (?:in any form )?without (?:the )?(?:express )?prior written (?:permission|consent)
 proprietary|internal use only|n|for internal use only
 no-license|unlicensed|s|unlicensed
 """

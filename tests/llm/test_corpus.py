@@ -77,6 +77,44 @@ def test_licence_rules_resolve_as_brute_force(docs):
     assert len(rules()) >= 200 and len({r.rank for r in rules()}) == len(rules())
 
 
+def spellings(parsed, most=4000):
+    """What a rule's pattern matches, with each alternative and optional part taken both ways."""
+    out = [""]
+    for op, arg in parsed:
+        op = str(op)
+        if op == "LITERAL":
+            new = [chr(arg)]
+        elif op == "NOT_LITERAL":
+            new = ["x"]
+        elif op == "IN":
+            new = [chr(a if str(o) == "LITERAL" else a[0]) for o, a in arg]
+        elif op == "SUBPATTERN":
+            new = spellings(arg[-1], most)
+        elif op == "BRANCH":
+            new = [x for b in arg[1] for x in spellings(b, most)]
+        elif op == "MAX_REPEAT":
+            one = spellings(arg[2], most)
+            new = [x * arg[0] for x in one] + [x * min(arg[1], arg[0] + 1) for x in one]
+        else:
+            raise ValueError(op)
+        out = [a + b for a in out for b in dict.fromkeys(new)]
+        assert len(out) <= most
+    return out
+
+
+def test_keywords_stand_in_all_that_their_rules_match():
+    from re import _parser
+
+    lost = {(r.label, r.keyword, x) for r in rules() for x in spellings(_parser.parse(r.pattern)) if r.keyword not in x}
+    assert not lost
+
+
+def test_licences_with_words_between(spark):
+    rows = [(1, "It may not be reproduced without the express prior written permission of the owner."), (2, "CreativeML Open RAIL-M")]
+    got = {r.doc_id: r.labels for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id int, text string")).collect()}
+    assert got == {1: "proprietary", 2: "openrail"}
+
+
 def test_overlapping_phrase_places(spark):
     df = spark.createDataFrame([(1, "a b a b a")], "doc_id int, text string")
     row = licenses.license_scan(df, of=[], phrases=(("a b a", "x"),)).collect()[0]
