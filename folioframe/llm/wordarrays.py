@@ -8,9 +8,9 @@ from __future__ import annotations
 
 import numpy as np
 
-BASE = np.uint64(0x9E3779B97F4A7C15)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 CHUNK = 1 << 20
+#: Words of up to so many bytes are hashed from their bytes as two numbers, longer ones by XXH3.
+PACKED = 16
 
 LOWERED = np.arange(256, dtype=np.uint8)
 LOWERED[65:91] += 32
@@ -19,17 +19,6 @@ IN_WORD[48:58] = IN_WORD[65:91] = IN_WORD[97:123] = IN_WORD[128:] = True
 IN_TOKEN = np.ones(256, bool)
 IN_TOKEN[[0x20, 9, 10, 11, 12, 13]] = False
 
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        n = max(n, CHUNK + 1)
-        with np.errstate(over="ignore"):
-            _powers[:] = [np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64))]) for b in (BASE, INVERSE)]
-    return _powers[0], _powers[1]
-
-
 def mixed(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every bit (the finaliser of SplitMix64)."""
     with np.errstate(over="ignore"):
@@ -51,16 +40,38 @@ def batches(texts: list[bytes], most: int = CHUNK):
         yield a, len(texts)
 
 
+def eights(data: np.ndarray, at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Up to eight bytes from each place, as one number; zeros beyond `size`. data has eight bytes more than the last place."""
+    view = np.ndarray(shape=(len(data) - 7,), dtype="<u8", buffer=data, strides=(1,))
+    kept = np.clip(size, 0, 8).astype(np.uint64) * np.uint64(8)
+    full = kept >= np.uint64(64)
+    mask = np.where(full, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.where(full, np.uint64(0), kept)) - np.uint64(1))
+    return view[at] & mask
+
+
+def hashed(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of data[s:e] for each s, e. Different words of one length of up to eight bytes differ in it; no rule gives others that agree."""
+    import xxhash
+
+    size = e - s
+    padded = np.concatenate([data, np.zeros(2 * PACKED, np.uint8)])
+    low, high = eights(padded, s, size), eights(padded, np.where(size > 8, s + 8, len(data)), size - 8)
+    with np.errstate(over="ignore"):
+        h = mixed(mixed(low) ^ (mixed(high, 5) * np.uint64(0xD6E8FEB86659FD93) * (size > 8)) ^ (size.astype(np.uint64) << np.uint64(56)))
+    long = np.flatnonzero(size > PACKED)
+    if len(long):
+        raw = data.tobytes()
+        h[long] = [xxhash.xxh3_64_intdigest(raw[a:b]) for a, b in zip(s[long].tolist(), e[long].tolist())]
+    return h
+
+
 def words_of(texts: list[bytes], inside: np.ndarray = IN_WORD, spans: bool = False):
     """(hashes of all words in order, words of each text), and with spans also the joined bytes and each word's first and end byte in them. Best for up to CHUNK bytes at once."""
     data = np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)
     word = inside[data]
     edge = np.flatnonzero(np.diff(np.concatenate([[False], word])))  # joined by and ended with a separator
     s, e = edge[::2], edge[1::2]
-    up, down = powers(len(data) + 1)
-    with np.errstate(over="ignore"):
-        sums = np.concatenate([[np.uint64(0)], np.cumsum((LOWERED[data].astype(np.uint64) + np.uint64(1)) * up[: len(data)])])
-        h = mixed((sums[e] - sums[s]) * down[s])
+    h = hashed(LOWERED[data], s, e)
     ends = np.cumsum([len(x) + 1 for x in texts])
     counts = np.diff(np.concatenate([[0], np.searchsorted(s, ends)]))
     return (h, counts, data, s, e) if spans else (h, counts)
