@@ -33,10 +33,16 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Write df to the shared folder and read it back: this cuts lineage and survives the loss of executors."""
+def tasks_for(spark: SparkSession, rows: int, width: int) -> int:
+    """How many tasks some rows of so many bytes call for: one for each 8 MB, and two for each core at least."""
+    return max(2 * spark.sparkContext.defaultParallelism, -(-rows * width // (8 << 20)))
+
+
+def written(df: DataFrame, name: str, path: str | None = None, tasks: int | None = None) -> DataFrame:
+    """Write df to the shared folder and read it back: this cuts lineage and survives the loss of executors. tasks: at most so many write, and as many files come out."""
     spark = df.sparkSession
     path = path or work_path(spark, name)
+    df = df.coalesce(tasks) if tasks else df
     df.write.mode("overwrite").option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -51,6 +57,13 @@ def paths_of(df: DataFrame) -> list[str]:
     return sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()})
 
 
+def drop_all(*tables: DataFrame) -> None:
+    """Delete the working tables that these are read from."""
+    for t in tables:
+        for p in paths_of(t):
+            drop_path(t.sparkSession, p)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
