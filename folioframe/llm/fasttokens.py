@@ -3,7 +3,9 @@
 The library splits a text into pieces (words with the space before them, numbers, runs of marks, white space) and
 encodes each piece for itself, so a column needs only its distinct pieces encoded. The split is done here on arrays of
 code points, for texts whose characters all lie in blocks where the classes of the split are settled (Latin, marks,
-ASCII); any other text goes through the library as it is. Nothing is approximated: tests compare with plain encode().
+ASCII); any other text, and one that holds the string of an added token, goes through the library as it is. A piece is
+looked up by a hash and compared in full: up to 16 code points as four numbers, longer ones as strings. So what comes out
+is what the library's plain encode() gives.
 """
 
 from __future__ import annotations
@@ -12,10 +14,12 @@ import unicodedata
 from functools import lru_cache
 
 import numpy as np
+import xxhash
+
+from .wordarrays import mixed
 
 SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
-BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+PARTS = 4  #: numbers of four code points each that tell pieces apart
 CHUNK = 1 << 20  #: code points that are split at once
 MOST_PIECES = 1_000_000  #: of the cache; it starts anew beyond that
 
@@ -31,10 +35,17 @@ def classes() -> np.ndarray:
     return table
 
 
-@lru_cache(1)
-def powers() -> tuple[np.ndarray, np.ndarray]:
-    with np.errstate(over="ignore"):
-        return tuple(np.concatenate([[np.uint64(1)], np.cumprod(np.full(CHUNK, b, np.uint64))]) for b in (BASE, INVERSE))
+def parts_of(cps: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+    """[PARTS, piece]: the first code points of each piece, four to a number, with zeros beyond its end."""
+    units = np.concatenate([cps.astype("<u2"), np.zeros(4 * PARTS, "<u2")])
+    view = np.ndarray(shape=(len(units) - 3,), dtype="<u8", buffer=units, strides=(2,))
+    out = np.zeros((PARTS, len(s)), np.uint64)
+    for j in range(PARTS):
+        size = np.clip(e - s - 4 * j, 0, 4).astype(np.uint64)
+        full = size == 4
+        mask = np.where(full, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.where(full, np.uint64(0), size * np.uint64(16))) - np.uint64(1))
+        out[j] = view[np.minimum(s + 4 * j, len(cps))] & mask
+    return out
 
 
 def piece_starts(cps: np.ndarray, kind: np.ndarray, first: np.ndarray, last: np.ndarray) -> np.ndarray:
@@ -69,17 +80,19 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.forget()
 
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted
         self.place = np.zeros(0, np.int64)  # of each key's ids
         self.count = np.zeros(0, np.int32)
-        self.length = np.zeros(0, np.int32)  # code points of the piece
+        self.length = np.zeros(0, np.int64)  # code points of the piece
+        self.parts = np.zeros((PARTS, 0), np.uint64)
         self.ids = np.zeros(0, np.uint32)
+        self.long: dict[int, str] = {}  # pieces longer than the parts, by key
 
-    def learn(self, keys: np.ndarray, pieces: list[str]) -> None:
+    def learn(self, keys: np.ndarray, pieces: list[str], parts: np.ndarray) -> None:
         found = [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
         count = np.fromiter(map(len, found), np.int32, len(found))
         ids = np.fromiter((i for x in found for i in x), np.uint32, int(count.sum()))
@@ -90,7 +103,14 @@ class Encoder:
         self.keys = everything[order]
         self.place = np.concatenate([self.place, place])[order]
         self.count = np.concatenate([self.count, count])[order]
-        self.length = np.concatenate([self.length, np.fromiter(map(len, pieces), np.int32, len(pieces))])[order]
+        self.length = np.concatenate([self.length, np.fromiter(map(len, pieces), np.int64, len(pieces))])[order]
+        self.parts = np.concatenate([self.parts, parts], axis=1)[:, order]
+        self.long |= {k: x for k, x in zip(keys.tolist(), pieces) if len(x) > 4 * PARTS}
+
+    def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """By the library alone."""
+        found = [self.library.encode(x, add_special_tokens=False).ids for x in texts]
+        return np.array([i for x in found for i in x], np.uint32), np.array(list(map(len, found)), np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         outs, counts = [], np.zeros(len(texts), np.int64)
@@ -108,10 +128,10 @@ class Encoder:
         for i, x in enumerate(texts):
             if size + len(x) > CHUNK:
                 flush()
-            if len(x) > CHUNK:  # longer than the tables: by the library
-                ids = np.array(self.library.encode(x, add_special_tokens=False).ids, np.uint32)
+            if len(x) > CHUNK:
+                ids, n = self.plain([x])
                 outs.append(ids)
-                counts[i] = len(ids)
+                counts[i] = n[0]
             else:
                 batch.append(i)
                 size += len(x)
@@ -128,6 +148,8 @@ class Encoder:
         ends = np.cumsum(lens)
         unsure = np.add.reduceat(np.append(kind == UNSURE, False), np.minimum(ends - lens, len(cps))) > 0
         unsure &= lens > 0
+        if any(a in whole for a in self.added):
+            unsure |= np.array([any(a in x for a in self.added) for x in texts])
         if unsure.any():  # in runs, so that the order stays
             outs, counts, a = [], [], 0
             for i in [*np.flatnonzero(unsure), len(texts)]:
@@ -136,9 +158,9 @@ class Encoder:
                     outs.append(ids)
                     counts.append(n)
                 if i < len(texts):
-                    ids = np.array(self.library.encode(texts[i], add_special_tokens=False).ids, np.uint32)
+                    ids, n = self.plain(texts[i : i + 1])
                     outs.append(ids)
-                    counts.append(np.array([len(ids)]))
+                    counts.append(n)
                 a = i + 1
             return np.concatenate(outs), np.concatenate(counts)
         first, last = np.zeros(len(cps), bool), np.zeros(len(cps), bool)
@@ -146,24 +168,32 @@ class Encoder:
         first[(ends - lens)[some]], last[ends[some] - 1] = True, True
         s = piece_starts(cps, kind, first, last)
         e = np.append(s[1:], len(cps))
-        up, down = powers()
-        with np.errstate(over="ignore"):
-            sums = np.concatenate([[np.uint64(0)], np.cumsum((cps + np.uint32(1)).astype(np.uint64) * up[: len(cps)])])
-            h = (sums[e] - sums[s]) * down[s]
-            h ^= h >> np.uint64(31)
-            h *= np.uint64(0xBF58476D1CE4E5B9)
+        parts, size = parts_of(cps, s, e), e - s
+        h = size.astype(np.uint64)
+        for p in parts:
+            h = mixed(h ^ p)
+        long = np.flatnonzero(size > 4 * PARTS)
+        text_of = lambda i: whole[s[i] : e[i]]
+        for i in long.tolist():
+            h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(text_of(i).encode("utf-8", "surrogatepass")))
         keys, where, back = np.unique(h, return_index=True, return_inverse=True)
+        # pieces under one key must be one piece; a key known already must be that piece's
+        same = (parts == parts[:, where][:, back]).all() and (size == size[where][back]).all() and all(text_of(i) == text_of(where[back[i]]) for i in long.tolist())
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         if len(self.keys):
             at = np.minimum(at, len(self.keys) - 1)
-            known = (self.keys[at] == keys) & (self.length[at] == (e - s)[where])
+            known = self.keys[at] == keys
+            same = same and (self.length[at] == size[where])[known].all() and (self.parts[:, at] == parts[:, where])[:, known].all()
+            same = same and all(self.long[k] == text_of(i) for k, i, old in zip(keys.tolist(), where.tolist(), known.tolist()) if old and size[i] > 4 * PARTS)
+        if not same:  # two pieces with one hash
+            return self.plain(texts)
         if not known.all():
             if len(self.keys) + int((~known).sum()) > MOST_PIECES:
                 self.forget()
                 known[:] = False
             new = np.flatnonzero(~known)
-            self.learn(keys[new], [whole[a:b] for a, b in zip(s[where[new]].tolist(), e[where[new]].tolist())])
+            self.learn(keys[new], [text_of(i) for i in where[new].tolist()], parts[:, where[new]])
             at = np.searchsorted(self.keys, keys)
         at = at[back]
         count = self.count[at].astype(np.int64)
