@@ -1,16 +1,21 @@
 """Main text of web pages by tag-path ratios.
 
-A page becomes blocks: runs of text between block-level tags, each with its tag path from the root (names only). Three
-ratios are taken per path over all its blocks: characters of text per block, characters outside links per character, and
-punctuation marks per block; each path's ratios are smoothed with those of its neighbours in order of first appearance
-(Gaussian weights over `NEAR` places each way) and fused by a product. Paths below the threshold (`SHARE` of the fused
-ratios' standard deviation) are dropped, unless they stand inside the content's root: the deepest element that holds
-nearly all of the kept text, or most of it. What is there is dropped only if its element says so: by tag (nav, header, footer, aside, form,
-script, style ...) or by a class, id or role that names an advert, menu, sidebar, notice, share bar or comment; a class or
-id does not count where the element holds most of the page's running text.
-
-Parsing is one pass of a regular expression over the page: it handles missing end tags, void elements, comments, raw text
-of script and style, and stray end tags. Nothing is recursive, and a page is worked on alone.
+A page becomes blocks: runs of text between block-level tags. A block's tag path runs from the root to its innermost
+block element; a step is the tag with its class names (digits taken off). Over all its blocks a path has characters of
+text per block, punctuation marks per block, and characters outside links per character of the page. The first two are
+smoothed with those of the neighbouring paths in order of first appearance (Gaussian weights over `NEAR` places each way),
+and all are fused: the root of the first two's product, times the third.
+
+What the page's own names say is a prior, a factor on the fused ratio: `FOR` on paths through an article or main element,
+`AGAINST` on those through an element whose class or id names an advert, menu, sidebar, notice, share bar or comment; it
+drops nothing by itself. Paths of at least `SHARE` of the largest fused ratio are content. Their container is the deepest
+element that holds nearly all of the content's text (of a paragraph, what stands around it); within it a path needs only
+`WITHIN` of the largest, so that headings, items and cells of an article stay with its paragraphs. Elements that are no
+content whatever they hold are left out by their tag (nav, header, footer, aside, form, script, style ...), by their role,
+or because they are hidden.
+
+Parsing is one pass of a regular expression over the page, linear in its length whatever the nesting: it handles missing
+end tags, void elements, comments, raw text of script and style, and stray end tags. A page is worked on alone.
 
 Edge cases: null or empty html gives an empty text; a page of text without tags gives that text. Character references are
 decoded, also without their semicolon where HTML allows it. White space within a block becomes one space. Repeated rows
@@ -23,6 +28,7 @@ import html as references
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -46,18 +52,21 @@ ROLES = frozenset("navigation banner contentinfo complementary search form dialo
 CLOSES = {k: frozenset(v.split()) for k, v in {"li": "li p", "dt": "dt dd p", "dd": "dt dd p", "tr": "tr td th p", "td": "td th p", "th": "td th p", "option": "option", "tbody": "thead tbody tfoot tr td th p", "tfoot": "thead tbody tfoot tr td th p"}.items()}
 ENDS_P = BLOCK - frozenset("body html head br option legend caption title td th tr tbody thead tfoot".split())
 HOLDERS = frozenset("ul ol dl table menu body html article section div nav aside main header footer form blockquote".split())
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|[^<]+|<", re.S)
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?>=\s*\"[^\"]*\"|=\s*'[^']*'|[^>])*+)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 SPACES = re.compile(r"[ \t\n\r\f\v]+")
 MARKS = re.compile(r"[.,;:!?。，！？…]")
-NEAR, SHARE, NEARLY = 1, 0.2, 0.9
+NEAR, SHARE, WITHIN, NEARLY = 1, 0.2, 0.001, 0.9
+FOR, AGAINST = 2.0, 0.4  #: their quotient is SHARE, so the prior alone drops no path
 
 
 class Block:
-    __slots__ = ("text", "linked", "path", "chain", "doubted")
+    """A block's text, how much of it is in links, its path (a number) and its element (a number)."""
+
+    __slots__ = ("text", "linked", "path", "element")
 
-    def __init__(self, text: str, linked: int, path: tuple[str, ...], chain: tuple[int, ...], doubted: tuple[int, ...]):
-        self.text, self.linked, self.path, self.chain, self.doubted = text, linked, path, chain, doubted
+    def __init__(self, text: str, linked: int, path: int, element: int):
+        self.text, self.linked, self.path, self.element = text, linked, path, element
 
 
 def named(value: str) -> bool:
@@ -71,159 +80,196 @@ def named(value: str) -> bool:
     return False
 
 
-def refused(tag: str, attributes: str) -> int:
-    """Whether the element itself says that it is no content: 2, or 1 if only its name says so."""
+@lru_cache(4096)
+def told(tag: str, attributes: str) -> tuple[bool, str, float]:
+    """What a start tag says: whether to leave the element out, its class names, and its prior."""
+    prior = FOR if tag in ("article", "main") else 1.0
     if tag in DROPPED:
-        return 2
+        return True, "", prior
     if not attributes or "=" not in attributes and "hidden" not in attributes:
-        return 0
-    by_name = 0
+        return False, "", prior
+    out, names = False, ""
     for name, a, b, c in ATTRIBUTE.findall(attributes):
         name, value = name.lower(), a or b or c
+        if name == "class":
+            names = re.sub(r"\d+", "", " ".join(value.lower().split()))
         if name in ("class", "id") and tag not in ("html", "body", "article", "main") and named(value):
-            by_name = 1 if tag in BLOCK else 2  # a piece of a block is not weighed
+            prior = AGAINST
         if name == "role" and value.lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
-            return 2
+            out = True
         if name == "style" and re.search(r"display\s*:\s*none", value, re.I):
-            return 2
-    return by_name
-
-
-def blocks_of(page: str) -> list[Block]:
-    """Blocks of visible text in page order, without those that an element around them refuses.
-
-    An element that is refused by its name stays if it holds most of the page's text outside links in blocks with marks,
-    unless an article or main element outside holds text.
-    """
-    tags: list[str] = []  # open elements
-    numbers: list[int] = []  # and which they are
-    out: list[Block] = []
-    pieces: list[str] = []
-    state = {"linked": 0, "links": 0, "refused": 0}
-    refusing: list[int] = []
-    nth = 0
-
-    def end_block() -> None:
-        if pieces:
-            text = SPACES.sub(" ", references.unescape("".join(pieces))).strip(" ")
-            pieces.clear()
-            if text and not state["refused"]:
-                out.append(Block(text, min(state["linked"], len(text)), tuple(t for t in tags if t in BLOCK), tuple(numbers), tuple(e for e, r in zip(numbers, refusing) if r == 1)))
-        state["linked"] = 0
-
-    def close(upto: int) -> None:
+            out = True
+    return out, names, prior
+
+
+class Page:
+    """Blocks of visible text in page order; paths and elements by number, each with its parent's number."""
+
+    def __init__(self, page: str):
+        self.blocks: list[Block] = []
+        self.priors: list[float] = [1.0]  # of each path
+        self.parents: list[int] = [0]  # of each block element; element 0 is the page
+        self.tags: list[str] = []  # open elements, outermost first
+        self.state: list[tuple[int, int, bool]] = []  # of each: its block element, its path, whether it leaves its text out
+        self.places: dict[str, list[int]] = {}  # of each open tag
+        self.in_block: list[int] = []  # places of open block elements
+        self.holders: list[int] = []  # and of those that hold others
+        self.steps: dict[tuple, int] = {}
+        self.pieces: list[str] = []
+        self.linked = self.links = self.left_out = 0
+        self.parse(page)
+
+    def end_block(self) -> None:
+        if self.pieces:
+            text = SPACES.sub(" ", references.unescape("".join(self.pieces))).strip(" ")
+            self.pieces.clear()
+            if text and not self.left_out:
+                element, path, _ = self.state[-1] if self.state else (0, 0, False)
+                self.blocks.append(Block(text, min(self.linked, len(text)), path, element))
+        self.linked = 0
+
+    def close(self, upto: int) -> None:
         """Close open elements down to place upto."""
-        if any(t in BLOCK for t in tags[upto:]):
-            end_block()
-        for _ in range(len(tags) - upto):
-            tag = tags.pop()
-            numbers.pop()
-            state["refused"] -= refusing.pop() == 2
-            state["links"] -= tag == "a"
-
-    at, n = 0, len(page)
-    while at < n:
-        m = TOKEN.match(page, at)
-        at = m.end()
-        tag = m[2]
-        if tag is None:
-            piece = m[0]
-            if piece.startswith("<![CDATA["):
-                piece = piece[9:].removesuffix("]]>")
-            elif piece[0] == "<" and len(piece) > 1:
-                continue  # comment, doctype, instruction
-            if not state["refused"]:
-                pieces.append(piece)
-                if state["links"]:
-                    state["linked"] += len(piece)
-            continue
-        tag = tag.lower()
-        if m[1]:
-            if tag in tags:
-                place = len(tags) - 1 - tags[::-1].index(tag)
-                if tag in BLOCK or not any(t in BLOCK for t in tags[place + 1 :]):
-                    close(place)
-            elif tag in BLOCK:
-                end_block()
-            continue
-        if tag in BLOCK:
-            end_block()
-        if tag in VOID:
-            continue
-        if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else n
-            continue
-        if tag in ENDS_P and "p" in tags:
-            place = len(tags) - 1 - tags[::-1].index("p")
-            if not any(t in HOLDERS for t in tags[place:]):
-                close(place)
+        if self.in_block and self.in_block[-1] >= upto:
+            self.end_block()
+        while len(self.tags) > upto:
+            tag, (_, _, out) = self.tags.pop(), self.state.pop()
+            self.places[tag].pop()
+            self.left_out -= out
+            self.links -= tag == "a"
+            for stack in (self.in_block, self.holders):
+                if stack and stack[-1] == len(self.tags):
+                    stack.pop()
+
+    def open(self, tag: str, attributes: str) -> None:
+        out, names, prior = told(tag, attributes)
+        above, path, _ = self.state[-1] if self.state else (0, 0, False)
+        is_block = tag in BLOCK
+        if is_block or prior < 1:
+            # an inline element is a step only if its name says what it is
+            step = (path, tag, names, prior)
+            if step not in self.steps:
+                self.steps[step] = len(self.priors)
+                self.priors.append(min(self.priors[path], prior) if prior < 1 else max(self.priors[path], prior) if self.priors[path] >= 1 else self.priors[path])
+            path = self.steps[step]
+        if is_block:
+            self.parents.append(above)
+            above = len(self.parents) - 1
+        place = len(self.tags)
+        self.tags.append(tag)
+        self.places.setdefault(tag, []).append(place)
+        if is_block:
+            self.in_block.append(place)
+        if tag in HOLDERS:
+            self.holders.append(place)
+        self.state.append((above, path, out))
+        self.left_out += out
+        self.links += tag == "a"
+
+    def end_tag(self, tag: str) -> None:
+        if self.places.get(tag):
+            place = self.places[tag][-1]
+            if tag in BLOCK or not self.in_block or self.in_block[-1] <= place:
+                self.close(place)
+        elif tag in BLOCK:
+            self.end_block()
+
+    def implied_ends(self, tag: str) -> None:
+        """End tags that a start tag stands for."""
+        holder = self.holders[-1] if self.holders else -1
+        if tag in ENDS_P and self.places.get("p") and self.places["p"][-1] > holder:
+            self.close(self.places["p"][-1])
         if tag in CLOSES:
-            for place in range(len(tags) - 1, -1, -1):
-                if tags[place] in CLOSES[tag]:
-                    if all(t in CLOSES[tag] or t not in BLOCK for t in tags[place:]):
-                        close(place)
-                elif tags[place] in HOLDERS:
+            lowest = None
+            for place in reversed(self.in_block):
+                if place <= holder or self.tags[place] not in CLOSES[tag]:
+                    break
+                lowest = place
+            if lowest is not None:
+                self.close(lowest)
+
+    def parse(self, page: str) -> None:
+        at, n, last = 0, len(page), page.rfind(">")
+        while at < n:
+            if page[at] == "<" and at > last:  # no tag ends any more
+                if re.match(r"</?[a-zA-Z!?]", page[at : at + 3]):
                     break
-        if m[3].rstrip().endswith("/") and tag not in BLOCK:
-            continue
-        tags.append(tag)
-        nth += 1
-        numbers.append(-nth if tag in ("html", "body") else nth)  # so that any other element counts as deeper
-        refusing.append(refused(tag, m[3]))
-        state["refused"] += refusing[-1] == 2
-        state["links"] += tag == "a"
-    close(0)
-    end_block()
-    dense = [(b, len(b.text) - b.linked) for b in out if MARKS.search(b.text)]
-    held: dict[int, int] = {}
-    for b, n in dense:
-        for e in b.doubted:
-            held[e] = held.get(e, 0) + n
-    plain = any(t in ("article", "main") for b in out if not b.doubted for t in b.path)
-    most = set() if plain else {e for e, n in held.items() if 2 * n > sum(n for _, n in dense)}
-    return [b for b in out if most.issuperset(b.doubted)]
-
-
-def ratios(blocks: list[Block]) -> dict[tuple[str, ...], float]:
+                m = re.compile(r"<[^<]*").match(page, at)
+                piece, tag, at = m[0], None, m.end()
+            else:
+                m = TOKEN.match(page, at)
+                piece, tag, at = m[0], m[2], m.end()
+            if tag is None:
+                if piece.startswith("<![CDATA["):
+                    piece = piece[9:].removesuffix("]]>")
+                elif piece[0] == "<" and len(piece) > 1 and piece[1] in "!?":
+                    continue  # comment, doctype, instruction
+                if not self.left_out:
+                    self.pieces.append(piece)
+                    if self.links:
+                        self.linked += len(piece)
+                continue
+            tag = tag.lower()
+            if m[1]:
+                self.end_tag(tag)
+                continue
+            if tag in BLOCK:
+                self.end_block()
+            if tag in VOID:
+                continue
+            if tag in RAW:
+                end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+                at = end.end() if end else n
+                continue
+            self.implied_ends(tag)
+            if m[3].rstrip().endswith("/") and tag not in BLOCK:
+                continue
+            self.open(tag, m[3])
+        self.close(0)
+        self.end_block()
+
+
+def ratios(blocks: list[Block]) -> dict[int, float]:
     """The fused ratio of each tag path."""
-    sums: dict[tuple[str, ...], list[float]] = {}
+    sums: dict[int, list[float]] = {}
     for b in blocks:
         s = sums.setdefault(b.path, [0, 0, 0, 0])
         for i, v in enumerate((1, len(b.text), b.linked, len(MARKS.findall(b.text)))):
             s[i] += v
-    rows = [(chars / n, 1 - linked / chars, (marks + 1) / n) for n, chars, linked, marks in sums.values()]
-    weights = [math.exp(-d * d / 2) for d in range(-NEAR, NEAR + 1)]
-    fused = []
-    for i, own in enumerate(rows):
-        value = 1.0
-        for k in range(3):
-            near = [(w, rows[i + d][k]) for w, d in zip(weights, range(-NEAR, NEAR + 1)) if 0 <= i + d < len(rows)]
-            smooth = sum(w * x for w, x in near) / sum(w for w, _ in near)
-            value *= max(smooth, 0.0) if k else max(smooth, own[0] / 2)
-        fused.append(value)
-    return dict(zip(sums, fused))
+    whole = sum(chars for _, chars, _, _ in sums.values())
+    rows = [(chars / n, (marks + 0.1) / n) for n, chars, _, marks in sums.values()]
+    weights = {d: math.exp(-2 * d * d) for d in range(-NEAR, NEAR + 1)}
+    fused = {}
+    for i, (path, (_, chars, linked, _)) in enumerate(sums.items()):
+        length, marks = (sum(w * rows[i + d][k] for d, w in weights.items() if 0 <= i + d < len(rows)) for k in range(2))
+        fused[path] = math.sqrt(length * marks) * (chars - linked) / whole
+    return fused
+
+
+def selected(page: Page) -> list[Block]:
+    """The blocks of content paths."""
+    fused = {p: x * page.priors[p] for p, x in ratios(page.blocks).items()}
+    most = max(fused.values())
+    held, whole = [0] * len(page.parents), 0
+    for b in page.blocks:
+        if fused[b.path] >= SHARE * most:
+            held[b.element] += len(b.text)
+            whole += len(b.text)
+    for e in range(len(held) - 1, 0, -1):  # children have larger numbers
+        held[page.parents[e]] += held[e]
+    texts = {b.element for b in page.blocks}
+    container = max(e for e, n in enumerate(held) if n >= NEARLY * whole)
+    if container in texts:  # a paragraph alone: what stands around it counts
+        container = page.parents[container]
+    inside = [e == container for e in range(len(held))]
+    for e in range(1, len(held)):
+        inside[e] = inside[e] or inside[page.parents[e]]
+    return [b for b in page.blocks if fused[b.path] >= (WITHIN if inside[b.element] else SHARE) * most]
 
 
 def main_text(page: str | None) -> str:
-    blocks = blocks_of(page or "")
-    if not blocks:
-        return ""
-    fused = ratios(blocks)
-    mean = sum(fused.values()) / len(fused)
-    limit = SHARE * math.sqrt(sum((x - mean) ** 2 for x in fused.values()) / len(fused))
-    kept = [b for b in blocks if fused[b.path] >= limit]
-    whole = sum(len(b.text) for b in kept)
-    # what stands with the kept text stays, whatever its own ratio: in the deepest element with nearly all of it,
-    # or, if only the page's body has that, in the deepest with most of it
-    held: dict[int, int] = {}
-    for b in kept:
-        for e in b.chain:
-            held[e] = held.get(e, 0) + len(b.text)
-    root = max((e for e, n in held.items() if n >= NEARLY * whole), default=0)
-    if root <= 0:
-        root = max((e for e, n in held.items() if 2 * n > whole), default=0)
-    return "\n".join(b.text for b in blocks if fused[b.path] >= limit or root in b.chain)
+    parsed = Page(page or "")
+    return "\n".join(b.text for b in selected(parsed)) if parsed.blocks else ""
 
 
 def extracted(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
