@@ -8,12 +8,16 @@ window's start) and in scoring, where each text is scored whole.
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
 
 END, OTHER = 0, 1
-CLASSES, SIZE, HIDDEN = 32, 32, 24
+CLASSES, SIZE, HIDDEN = 64, 64, 24
 WORDS = CLASSES * SIZE
 STREAMS, WINDOW = 32, 32
+#: Learning from all texts: so many words in so many streams at once.
+RUN, WIDE = 1 << 16, 128
 F32 = np.float32
 
 
@@ -44,78 +48,137 @@ def step(gx: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]
     return n + z * (h - n), z, zr[:, k:], n, gh[:, 2 * k :]
 
 
+def by_class(c: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The rows of each class that occurs."""
+    order = np.argsort(c, kind="stable")
+    edge = np.searchsorted(c[order], np.arange(CLASSES + 1))
+    return [(k, order[edge[k] : edge[k + 1]]) for k in range(CLASSES) if edge[k + 1] > edge[k]]
+
+
 def window_gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, h0: np.ndarray) -> tuple[float, dict, np.ndarray]:
     """inputs, targets: [time, stream]. Mean negative log-likelihood, gradients, the state after the window."""
     t_max, b = inputs.shape
+    gx, alive = (p["E"] @ p["W"] + p["b"])[inputs], (inputs != END).astype(F32)[..., None]
     h, states = h0, []
     for t in range(t_max):
-        before = np.where((inputs[t] == END)[:, None], F32(0), h)
-        h, z, r, n, ghn = step(p["E"][inputs[t]] @ p["W"] + p["b"], before, p["U"])
-        states.append((before, z, r, n, ghn))
-    hs = np.stack([s[1] * s[0] + (1 - s[1]) * s[3] for s in states]).reshape(-1, HIDDEN)
+        before = h * alive[t]
+        h, z, r, n, ghn = step(gx[t], before, p["U"])
+        states.append((before, z, r, n, ghn, h))
+    hs = np.stack([s[5] for s in states]).reshape(-1, HIDDEN)
     y = targets.reshape(-1)
     c, w, at = y // SIZE, y % SIZE, np.arange(len(y))
-    lc, lw = log_softmax(hs @ p["Wc"] + p["bc"]), log_softmax(np.einsum("bh,bhk->bk", hs, p["Ww"][c]) + p["bw"][c])
-    loss = -float((lc[at, c] + lw[at, w]).mean())
-    dc, dw = np.exp(lc), np.exp(lw)
+    lc = log_softmax(hs @ p["Wc"] + p["bc"])
+    loss = -float(lc[at, c].sum())
+    dc = np.exp(lc)
     dc[at, c] -= 1
-    dw[at, w] -= 1
-    dc, dw = dc / len(y), dw / len(y)
+    dc /= len(y)
     g = {k: np.zeros_like(v) for k, v in p.items()}
-    g["Wc"], g["bc"] = hs.T @ dc, dc.sum(0)
-    for k in np.unique(c):
-        own = c == k
-        g["Ww"][k], g["bw"][k] = hs[own].T @ dw[own], dw[own].sum(0)
-    dhs = (dc @ p["Wc"].T + np.einsum("bk,bhk->bh", dw, p["Ww"][c])).reshape(t_max, b, HIDDEN)
-    dh = np.zeros((b, HIDDEN), F32)
+    g["Wc"], g["bc"], dhs = hs.T @ dc, dc.sum(0), dc @ p["Wc"].T
+    for k, own in by_class(c):
+        lw = log_softmax(hs[own] @ p["Ww"][k] + p["bw"][k])
+        place = np.arange(len(own)), w[own]
+        loss -= float(lw[place].sum())
+        dw = np.exp(lw)
+        dw[place] -= 1
+        dw /= len(y)
+        g["Ww"][k], g["bw"][k] = hs[own].T @ dw, dw.sum(0)
+        dhs[own] += dw @ p["Ww"][k].T
+    dhs = dhs.reshape(t_max, b, HIDDEN)
+    dh, dgx, dgh = np.zeros((b, HIDDEN), p["U"].dtype), np.empty_like(gx), np.empty_like(gx)
     for t in range(t_max - 1, -1, -1):
-        before, z, r, n, ghn = states[t]
+        before, z, r, n, ghn, _ = states[t]
         dh = dh + dhs[t]
         dn = dh * (1 - z) * (1 - n * n)
         dz = dh * (before - n) * z * (1 - z)
         dr = dn * ghn * r * (1 - r)
-        dgx = np.concatenate([dz, dr, dn], 1)
-        dgh = np.concatenate([dz, dr, dn * r], 1)
-        x = p["E"][inputs[t]]
-        g["W"] += x.T @ dgx
-        g["b"] += dgx.sum(0)
-        g["U"] += before.T @ dgh
-        np.add.at(g["E"], inputs[t], dgx @ p["W"].T)
-        dh = np.where((inputs[t] == END)[:, None], F32(0), dh * z + dgh @ p["U"].T)
-    return loss, g, h
+        dgx[t] = np.concatenate([dz, dr, dn], 1)
+        dgh[t] = np.concatenate([dz, dr, dn * r], 1)
+        dh = (dh * z + dgh[t] @ p["U"].T) * alive[t]
+    g["U"] = np.stack([s[0] for s in states]).reshape(-1, HIDDEN).T @ dgh.reshape(-1, 3 * HIDDEN)
+    # what reaches the inputs, summed for each word
+    x = inputs.reshape(-1)
+    order = np.argsort(x, kind="stable")
+    first = np.flatnonzero(np.diff(x[order], prepend=-1))
+    table = np.zeros((WORDS, 3 * HIDDEN), p["U"].dtype)
+    table[x[order][first]] = np.add.reduceat(dgx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
+    g["W"], g["b"], g["E"] = p["E"].T @ table, table.sum(0), table @ p["W"].T
+    return loss / len(y), g, h
+
+
+class Adam:
+    def __init__(self, p: dict):
+        self.n, self.m, self.v = 0, {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}
+
+    def move(self, p: dict, g: dict, rate: float) -> None:
+        """One step, with the gradient cut to length 1."""
+        self.n += 1
+        norm = float(np.sqrt(sum((d * d).sum() for d in g.values())))
+        scale = F32(min(1.0, 1.0 / (norm + 1e-9)))
+        for k in p:
+            d = g[k] * scale
+            self.m[k] += F32(0.1) * (d - self.m[k])
+            self.v[k] += F32(0.01) * (d * d - self.v[k])
+            p[k] -= F32(rate / (1 - 0.9**self.n)) * self.m[k] / (np.sqrt(self.v[k] / F32(1 - 0.99**self.n)) + F32(1e-6))
+
+
+def one_pass(p: dict, whole: np.ndarray, streams: int, window: int, rates, adam: Adam) -> int:
+    """Truncated backpropagation over a run of words, cut into streams side by side; gives the words learned from."""
+    steps = len(whole) // streams
+    if steps < 2:
+        return 0
+    y = whole[: steps * streams].reshape(streams, steps).T
+    x = np.concatenate([np.full((1, streams), END), y[:-1]])
+    h = np.zeros((streams, HIDDEN), F32)
+    for a in range(0, steps, window):
+        _, g, h = window_gradients(p, x[a : a + window], y[a : a + window], h)
+        adam.move(p, g, next(rates))
+    return steps * streams
 
 
 def train(texts: list[np.ndarray], used: int, epochs: int = 3, rate: float = 0.01, seed: int = 7) -> dict[str, np.ndarray]:
-    """Fit to texts, each an array of word numbers that ends with END. Adam; the same texts give the same model."""
-    p = fresh(used, seed)
-    whole = np.concatenate(texts) if texts else np.zeros(0, np.int64)
-    steps = len(whole) // STREAMS
-    if steps < 2:
-        return p
-    order = np.random.default_rng(seed)
-    m, v = ({k: np.zeros_like(x) for k, x in p.items()} for _ in range(2))
-    n = 0
-    windows = -(-(steps - 1) // WINDOW) * epochs
+    """Fit to texts, each an array of word numbers that ends with END. The same texts give the same model."""
+    p, order = fresh(used, seed), np.random.default_rng(seed)
+    windows = -(-(sum(map(len, texts)) // STREAMS) // WINDOW) * epochs
+    rates, adam = (rate * max(0.05, 1 - n / (windows + 1)) for n in range(1, windows + 2)), Adam(p)
     for _ in range(epochs):
-        whole = np.concatenate([texts[i] for i in order.permutation(len(texts))])
-        y = whole[: steps * STREAMS].reshape(STREAMS, steps).T
-        x = np.concatenate([np.full((1, STREAMS), END), y[:-1]])
-        h = np.zeros((STREAMS, HIDDEN), F32)
-        for a in range(0, steps, WINDOW):
-            _, g, h = window_gradients(p, x[a : a + WINDOW], y[a : a + WINDOW], h)
-            n += 1
-            norm = float(np.sqrt(sum((d * d).sum() for d in g.values())))
-            scale = min(1.0, 1.0 / (norm + 1e-9))
-            now = rate * max(0.05, 1 - n / (windows + 1))
-            for k in p:
-                d = g[k] * F32(scale)
-                m[k] = F32(0.9) * m[k] + F32(0.1) * d
-                v[k] = F32(0.99) * v[k] + F32(0.01) * d * d
-                p[k] -= F32(now / (1 - 0.9**n)) * m[k] / (np.sqrt(v[k] / F32(1 - 0.99**n)) + F32(1e-6))
+        one_pass(p, np.concatenate([texts[i] for i in order.permutation(len(texts))]) if texts else np.zeros(0, np.int64), STREAMS, WINDOW, rates, adam)
     return p
 
 
-def scores(p: dict, words: np.ndarray, counts: np.ndarray, window: int = 64) -> np.ndarray:
+class Learner:
+    """Goes on from a model, with texts as they come, in runs of RUN words; what is left over waits for the next run."""
+
+    def __init__(self, start: dict, rate: float = 0.01):
+        self.p, self.waiting, self.size, self.words = {k: v.copy() for k, v in start.items()}, [], 0, 0
+        self.adam, self.rates = Adam(self.p), (rate * min(1.0, n / 20) for n in itertools.count(1))
+
+    def learn(self, words: np.ndarray, last: bool = False) -> None:
+        self.waiting.append(words)
+        self.size += len(words)
+        if self.size < RUN and not last:
+            return
+        whole = np.concatenate(self.waiting)
+        end = len(whole) if last else len(whole) // RUN * RUN
+        for a in range(0, end, RUN):
+            part = whole[a : min(a + RUN, end)]
+            # a short last run has fewer streams, so that none is shorter than a window
+            self.words += one_pass(self.p, part, max(1, min(WIDE, len(part) // WINDOW)), WINDOW, self.rates, self.adam)
+        self.waiting, self.size = [whole[end:]], len(whole) - end
+
+
+def packed(p: dict) -> bytes:
+    return b"".join(p[k].astype("<f4").tobytes() for k in sorted(p))
+
+
+def unpacked(data: bytes, like: dict) -> dict[str, np.ndarray]:
+    flat, out, at = np.frombuffer(data, "<f4"), {}, 0
+    for k in sorted(like):
+        out[k] = flat[at : at + like[k].size].reshape(like[k].shape).copy()
+        at += like[k].size
+    return out
+
+
+def scores(p: dict, words: np.ndarray, counts: np.ndarray, window: int = 32) -> np.ndarray:
     """Natural log-likelihood of each text. words: the numbers of all texts' words in order, each text with its END; counts: how many each has."""
     order = np.argsort(-counts, kind="stable")  # so that the texts that go on are always the first ones
     begin, size = (np.cumsum(counts) - counts)[order], counts[order]

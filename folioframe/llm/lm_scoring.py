@@ -6,8 +6,11 @@ that no more words reach) go to every task, 16 bytes each. So most tokens find t
 document's other words, each once, are joined to the counts by hash, in a join that AQE splits where a word is hot.
 
 The recurrent model knows the most frequent words and one stand-in for all others; a word behind the stand-in gets its
-add-one share among these others, so the model is a proper distribution over the same words as the base. It is fitted on
-the driver to a bounded sample: about `train_docs` training documents, chosen by a hash, of up to `most_tokens` tokens each.
+add-one share among these others, so the model is a proper distribution over the same words as the base. It learns from
+all training documents, whole ones: every task goes on from the same start by truncated backpropagation over the documents
+that it reads, and the tasks' parameters are averaged, weighted by their tokens, in a tree of `FAN` models a task, so that
+no more than FAN of them (some 0.8 MB each) reach the driver. The start is fitted on the driver to a bounded sample: about
+`train_docs` training documents, chosen by a hash, of up to `most_tokens` tokens each.
 
 Edge cases: a null or empty text is the end token alone. Rows are scored for themselves, also where ids repeat; a null id
 counts as training. Without training documents every count is 0 and the model is its initial one. An empty table gives an
@@ -24,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_path, load, paths_of, small_batches, written
+from .common import drop_all, load, small_batches, written
 from .language_id import remainder
 
 HEAD = 1_000_000
 TRAIN_DOCS = 600
 MOST_TOKENS = 20_000
+FAN = 32
 END_HASH = np.uint64(0x5EED0E4D5EED0E4D)
 SLICE = 1 << 20
 
@@ -118,6 +122,47 @@ def numbered(rows: Iterator[pa.RecordBatch], keys: np.ndarray, numbers: np.ndarr
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([w[e - c : e].tobytes() for e, c in zip(ends, counts)], pa.binary())], ["order", "words"])
 
 
+def trained(rows: Iterator[pa.RecordBatch], keys: np.ndarray, numbers: np.ndarray, start: dict) -> Iterator[pa.RecordBatch]:
+    """words, model: what a task's documents make of the start."""
+    from .gated_lm import OTHER, Learner, packed
+    from .wordarrays import batches
+
+    learner = Learner(start)
+    for batch in rows:
+        texts = byte_texts(batch.column(0))
+        for a, b in batches(texts, SLICE):
+            learner.learn(looked_up(tokens(texts[a:b])[0], keys, numbers, OTHER))
+    learner.learn(np.zeros(0, np.int64), last=True)
+    if learner.words:
+        yield pa.RecordBatch.from_arrays([pa.array([learner.words]), pa.array([packed(learner.p)], pa.binary())], ["words", "model"])
+
+
+def averaged(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One model: the mean of a task's, weighted by words."""
+    total, whole = 0, None
+    for batch in rows:
+        for n, x in zip(batch.column("words").to_pylist(), batch.column("model").to_pylist()):
+            part = np.frombuffer(x, "<f4").astype(np.float64) * n
+            total, whole = total + n, part if whole is None else whole + part
+    if total:
+        yield pa.RecordBatch.from_arrays([pa.array([total]), pa.array([(whole / total).astype("<f4").tobytes()], pa.binary())], ["words", "model"])
+
+
+def learned(training: DataFrame, text: str, vocabulary: tuple[np.ndarray, np.ndarray], start: dict) -> dict:
+    """The start, after all training documents."""
+    from .gated_lm import unpacked
+
+    rows = training.select(F.coalesce(F.col(text), F.lit("")).alias("text"))
+    models = written(rows.mapInArrow(partial(trained, keys=vocabulary[0], numbers=vocabulary[1], start=start), "words long, model binary"), "lm-models")
+    while (n := models.count()) > FAN:
+        fewer = written(models.coalesce(-(-n // FAN)).mapInArrow(averaged, "words long, model binary"), "lm-models")
+        drop_all(models)
+        models = fewer
+    last = list(averaged([pa.RecordBatch.from_arrays([c.combine_chunks() for c in models.orderBy("words").toArrow().columns], ["words", "model"])])) if n else []
+    drop_all(models)
+    return unpacked(last[0].column("model")[0].as_py(), start) if last else start
+
+
 def scored(rows: Iterator[pa.RecordBatch], head: tuple[np.ndarray, np.ndarray], vocabulary: tuple[np.ndarray, np.ndarray], model: dict, slice_bytes: int = 4 * SLICE) -> Iterator[pa.RecordBatch]:
     """rid, the kept columns, n_tokens, n_known, base, lm (natural logs so far), and words whose count isn't in the head: rest (hash, times)."""
     from pyspark import TaskContext
@@ -188,7 +233,7 @@ def lm_scores(docs: DataFrame, training, text: str = "text", key: str = "doc_id"
     sample = learn.filter(seen < share).select(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("order"), F.col(text).alias("text"))
     fit = sample.mapInArrow(partial(numbered, keys=vocabulary[0], numbers=vocabulary[1]), "order string, words binary").filter(F.octet_length("words") <= 2 * most_tokens)
     texts = [np.frombuffer(r["words"], "<i2").astype(np.int64) for r in sorted(fit.collect(), key=lambda r: (r["order"], bytes(r["words"])))]
-    model = train(texts, 2 + len(order))
+    model = learned(learn, text, vocabulary, train(texts, 2 + len(order)))
     rows = docs.select(F.col(text).alias("_text"), key, *keep)
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[1:])
     done = rows.mapInArrow(partial(scored, head=frequent, vocabulary=vocabulary, model=model), f"rid long, {kept}, n_tokens long, n_known long, n_others long, base double, lm double, rest array<struct<h:bigint,times:bigint>>")
@@ -200,11 +245,14 @@ def lm_scores(docs: DataFrame, training, text: str = "text", key: str = "doc_id"
     more = got.groupBy("rid").agg(F.sum(logs).alias("more"), F.sum(F.when(F.col("n") > 0, F.col("times")).otherwise(0)).alias("more_known"))
     both = done.drop("rest").join(more.hint("merge"), "rid", "left")
     ten, extra = float(np.log(10)), F.coalesce("more", F.lit(0.0))
-    return both.select(
+    out = both.select(
         key, *keep, "n_tokens", (F.col("n_known") + F.coalesce("more_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n_all).cast("long").alias("train_tokens"),
         ((F.col("base") + extra - F.col("n_tokens") * float(np.log(n_all + v_all + 1))) / ten).alias("base_score"),
         ((F.col("lm") + extra - F.col("n_others") * float(np.log(z_others))) / ten).alias("score"),
     )
+    out = written(out, "lm-result")
+    drop_all(counts, done)
+    return out
 
 
 def op10_lm_scoring(spark, sf_dir: str) -> DataFrame:
