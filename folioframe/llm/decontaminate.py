@@ -9,7 +9,7 @@ Skew: with the broadcast nothing is shuffled but hits, grouped per document, who
 
 Edge cases: null and empty texts have no words: as documents they are clean, as items they have no windows. Each row of
 documents is judged for itself, also where doc_id repeats or is null. Items with equal windows are all reported; items
-that repeat an id count once. An empty benchmark hits nothing. Only the named columns are read.
+that repeat an id count once; an item without an id hits words, but is not among the items. An empty benchmark hits nothing. Only the named columns are read.
 """
 
 from __future__ import annotations

@@ -145,22 +145,22 @@ def nearest(texts: list[str], profiles: list[tuple[str, np.ndarray, np.ndarray]]
     return labels, scores
 
 
-def predicted(rows: Iterator[pa.RecordBatch], profiles: dict[str, list[int]], ranks: int) -> Iterator[pa.RecordBatch]:
+def predicted(rows: Iterator[pa.RecordBatch], profiles: dict[str, list[int]], ranks: int, names: tuple[str, str]) -> Iterator[pa.RecordBatch]:
     table = []
     for label, values in sorted(profiles.items()):
         order = np.argsort(values)
         table.append((label, np.array(values, np.int64)[order], np.arange(len(values))[order]))
     for batch in rows:
         labels, scores = nearest([x or "" for x in batch.column(0).to_pylist()], table, ranks)
-        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], "lang_pred", "score"])
+        yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(labels, pa.string()), pa.array(scores, pa.float64())], [*batch.schema.names[1:], *names])
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", keep: tuple[str, ...] = ("doc_id",), ranks: int = RANKS) -> DataFrame:
-    """The columns `keep`, lang_pred and score."""
+def predict(docs: DataFrame, profiles: dict[str, list[int]], text: str = "text", keep: tuple[str, ...] = ("doc_id",), ranks: int = RANKS, label: str = "lang_pred", score: str = "score") -> DataFrame:
+    """The columns `keep`, and those named by label and score, which must be none of them."""
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(text).alias("_text"), *(docs[c] for c in keep))
-    schema = StructType(rows.schema.fields[1:]).add("lang_pred", "string").add("score", "double")
-    return rows.mapInArrow(partial(predicted, profiles=profiles, ranks=ranks), schema)
+    schema = StructType(rows.schema.fields[1:]).add(label, "string").add(score, "double")
+    return rows.mapInArrow(partial(predicted, profiles=profiles, ranks=ranks, names=(label, score)), schema)
 
 
 def remainder(key: Column, m: int) -> Column:

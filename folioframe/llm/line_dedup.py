@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, ascii_lower, load, shuffle_partitions
+from .common import LOWER, UPPER, ascii_lower, load, shuffle_partitions, written
 
 BLANKS = " \t\n\x0b\f\r"
 SALTS = 64
@@ -53,7 +53,7 @@ def key_counts(lines: DataFrame, salts: int = SALTS) -> DataFrame:
 def drop_bitmaps(docs: DataFrame, text: str = "text", key: str = "doc_id", min_docs: int = 10, min_chars: int = 1, keep: str = "none", broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """id, t, bits (array of (word, bits), sorted: bit pos % 64 of word pos div 64 is set if the line goes), n_dropped; only documents that lose a line."""
     lines = lines_of(docs, text, key, min_chars)
-    common = key_counts(lines).filter(F.col("n_docs") >= min_docs)
+    common = written(key_counts(lines).filter(F.col("n_docs") >= min_docs), "line-keys")  # counted, then joined
     few = common.limit(broadcast_rows + 1).count() <= broadcast_rows  # a row is some 60 bytes
     hit = lines.join(F.broadcast(common) if few else common.hint("merge"), ["h1", "h2"])
     if keep == "first":

@@ -59,7 +59,7 @@ def mix(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str =
     """id, source, size, order, source_size, target, taken."""
     measured = written(sizes(docs, text, key, source, seed), "mix-sizes")
     t = targets(measured, **options).withColumn("epochs", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
-    t = t.withColumn("rest", F.round("target").cast("long") - F.col("epochs") * F.col("source_size"))
+    t = written(t.withColumn("rest", F.round("target").cast("long") - F.col("epochs") * F.col("source_size")), "mix-targets")  # read in several places
     bucket = F.substring("order", 1, BUCKET_DIGITS)
     sums = measured.groupBy("source", bucket.alias("bucket")).agg(F.sum("size").alias("n"))
     sums = sums.withColumn("before", F.sum("n").over(Window.partitionBy("source").orderBy("bucket")) - F.col("n"))
@@ -83,11 +83,11 @@ def mixed(docs: DataFrame, text: str = "text", key: str = "doc_id", source: str
     """docs, all columns: each whole document as often as the mix takes it. The part of a document across the last place counts as one if it is at least half."""
     names = docs.columns
     taken = mix(docs, text, key, source, seed, **options).filter("size > 0").select(F.col("order").alias("_o"), F.expr("cast(floor(taken / size + 0.5) as int)").alias("_n"))
-    taken = taken.groupBy("_o").agg(F.sort_array(F.collect_list("_n")).alias("_ns"))  # rows that repeat an id and a text
+    taken = taken.groupBy("_o").agg(F.sum("_n").alias("_sum"), F.count("*").alias("_rows"))  # rows that repeat an id and a text
     marked = docs.withColumn("_order", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col(key).cast("string"), F.lit("")), F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary"))).cast("binary")))
     both = marked.join(taken.hint("shuffle_hash"), F.col("_order") == F.col("_o"))
     # among k equal rows each emits its share of what all of them take: all emit the mean, rounded
-    each = F.expr("cast(round(aggregate(_ns, 0, (a, x) -> a + x) / size(_ns)) as int)")
+    each = F.expr("cast(round(_sum / _rows) as int)")
     return both.withColumn("_c", F.explode(F.when(each > 0, F.sequence(F.lit(1), each)))).select(*names)
 
 
