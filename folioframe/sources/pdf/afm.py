@@ -7,7 +7,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .fonts import glyph_text
+from .encodings import glyph_text
 
 METRIC = r"^C\s+(-?\d+)\s*;\s*WX\s+([\d.]+)\s*;\s*N\s+(\S+)\s*;"
 

@@ -3,49 +3,11 @@
 from __future__ import annotations
 
 import re
-import unicodedata
-from functools import lru_cache
 
+from .encodings import codes_of, glyph_text, texts_of
+from .metrics import metrics
 from .objects import Lexer, Ref, Stream
 
-# Glyph names that no rule gives.
-NAMED = {
-    "space": " ", "exclam": "!", "quotedbl": '"', "numbersign": "#", "dollar": "$", "percent": "%", "ampersand": "&", "quotesingle": "'", "quoteright": "’", "quoteleft": "‘", "parenleft": "(", "parenright": ")", "asterisk": "*", "plus": "+", "comma": ",", "hyphen": "-", "minus": "−", "period": ".", "slash": "/",
-    "zero": "0", "one": "1", "two": "2", "three": "3", "four": "4", "five": "5", "six": "6", "seven": "7", "eight": "8", "nine": "9", "colon": ":", "semicolon": ";", "less": "<", "equal": "=", "greater": ">", "question": "?", "at": "@", "bracketleft": "[", "backslash": "\\", "bracketright": "]", "asciicircum": "^", "underscore": "_", "grave": "`", "braceleft": "{", "bar": "|", "braceright": "}", "asciitilde": "~",
-    "bullet": "•", "endash": "–", "emdash": "—", "quotedblleft": "“", "quotedblright": "”", "quotesinglbase": "‚", "quotedblbase": "„", "ellipsis": "…", "fi": "fi", "fl": "fl", "ff": "ff", "ffi": "ffi", "ffl": "ffl", "germandbls": "ß", "ae": "æ", "AE": "Æ", "oe": "œ", "OE": "Œ", "oslash": "ø", "Oslash": "Ø", "dagger": "†", "daggerdbl": "‡", "section": "§", "copyright": "©", "registered": "®", "trademark": "™", "degree": "°", "plusminus": "±", "multiply": "×", "divide": "÷", "Euro": "€", "sterling": "£", "nbspace": " ",
-}
-ACCENTS = {"grave": "\u0300", "acute": "\u0301", "circumflex": "\u0302", "tilde": "\u0303", "dieresis": "\u0308", "ring": "\u030a", "cedilla": "\u0327", "caron": "\u030c"}
-LIGATURES = {"standard": {0x27: "’", 0x60: "‘"}}
-
-
-@lru_cache(4096)
-def glyph_text(name: str) -> str | None:
-    """By list, by rule (a letter with an accent, a Greek letter, uniXXXX) or None."""
-    base = name.split(".")[0]
-    if base in NAMED:
-        return NAMED[base]
-    if len(base) == 1:
-        return base
-    if m := re.fullmatch(r"uni([0-9A-F]{4})|u([0-9A-F]{4,6})", base):
-        return chr(int(m[1] or m[2], 16))
-    if m := re.fullmatch(r"([A-Za-z])(\w+)", base):
-        if m[2] in ACCENTS:
-            return unicodedata.normalize("NFC", m[1] + ACCENTS[m[2]])
-    for prefix in ("GREEK SMALL LETTER ", "GREEK CAPITAL LETTER "):
-        if base.islower() == prefix.startswith("GREEK S"):
-            try:
-                return unicodedata.lookup(prefix + {"lambda": "LAMDA"}.get(base.lower(), base.upper()))
-            except KeyError:
-                pass
-    return None
-
-
-@lru_cache(4)
-def encoding(name: str) -> dict[int, str]:
-    codec = {"MacRomanEncoding": "mac_roman", "WinAnsiEncoding": "cp1252"}.get(name, "ascii")
-    table = {i: bytes([i]).decode(codec, "ignore") for i in range(32, 256)}
-    return {k: v for k, v in table.items() if v} | (LIGATURES["standard"] if codec == "ascii" else {})
-
 
 class Font:
     def __init__(self, doc, spec: dict, resource: str):
@@ -60,8 +22,10 @@ class Font:
         self.unicode, self.ranges = {}, []
         if isinstance(cmap := get(spec.get("ToUnicode")), Stream):
             self.read_cmap(doc.decoded(cmap))
+        self.names: dict[int, str] = {}
         self.text: dict[int, str] = {}
         self.widths: dict[int, float] = {}
+        self.standard = None
         if self.composite:
             down = get((get(spec.get("DescendantFonts")) or [{}])[0])
             self.missing = float(get(down.get("DW", 1000)))
@@ -69,23 +33,29 @@ class Font:
         else:
             enc = get(spec.get("Encoding"))
             base = enc if isinstance(enc, str) else get(enc.get("BaseEncoding")) if isinstance(enc, dict) else None
-            self.text = dict(encoding(base or "StandardEncoding"))
+            self.names, self.text = dict(codes_of(base or "StandardEncoding")), dict(texts_of(base or "StandardEncoding"))
             code = 0
             for x in get(enc.get("Differences")) or [] if isinstance(enc, dict) else []:
                 x = get(x)
                 if isinstance(x, int):
                     code = x
                 else:
-                    if (t := glyph_text(x)) is not None:
-                        self.text[code] = t
+                    self.named(code, x)
                     code += 1
             first, desc = get(spec.get("FirstChar", 0)) or 0, get(spec.get("FontDescriptor")) or {}
             self.widths = {first + i: float(get(w)) * self.scale for i, w in enumerate(get(spec.get("Widths")) or [])}
-            self.missing = float(get(desc.get("MissingWidth", 0)) or 0) or 500.0
+            self.missing = float(get(desc.get("MissingWidth", 0)) or 0)
+            self.standard = metrics(str(self.name)) if self.kind != "Type3" else None
             if not isinstance(enc, (str, dict)) and isinstance(program := get(desc.get("FontFile")), Stream):
-                for m in re.finditer(rb"dup\s+(\d+)\s*/(\S+)\s+put", doc.decoded(program)[:65536]):
-                    if (t := glyph_text(m[2].decode("latin-1"))) is not None:
-                        self.text[int(m[1])] = t
+                for m in re.finditer(rb"dup\s+(\d+)\s*/(\S+)\s+put", doc.decoded(program)):
+                    self.named(int(m[1]), m[2].decode("latin-1"))
+
+    def named(self, code: int, name: str) -> None:
+        """A code's glyph; without a text if the name has none."""
+        self.names[code] = name
+        self.text.pop(code, None)
+        if (t := glyph_text(name)) is not None:
+            self.text[code] = t
 
     def read_widths(self, w: list, get) -> None:
         i = 0
@@ -144,18 +114,29 @@ class Font:
                 i += 1
 
     def width(self, code: int) -> float:
-        return self.widths.get(code, self.missing)
+        """Declared, else missing, else of the standard font, else 500."""
+        if code in self.widths:
+            return self.widths[code]
+        if self.missing > 0 or self.composite:
+            return self.missing
+        found = self.standard.width(self.names.get(code), code) if self.standard else None
+        return 500.0 if found is None else found
 
     def space_width(self) -> float:
         """Of the lowest code that stands for a space, in thousandths; 250 where that makes no sense."""
         code = min((c for c, t in (self.unicode or self.text).items() if t == " "), default=None)
-        w = self.widths.get(code, 250.0)
+        w = self.widths.get(code)
+        if w is None:
+            w = self.standard.by_name.get("space", 250.0) if self.standard else 250.0
         return w if 0 < w <= 1000 else 250.0
 
-    def decode(self, code: int) -> str:
+    def decode(self, code: int, size: int = 1) -> str:
+        """By ToUnicode, else by the encoding; of a code of several bytes what is printable ASCII; else the replacement character."""
         if code in self.unicode:
             return self.unicode[code]
-        return self.text.get(code) or (chr(code) if code < 256 else "\ufffd")
+        if size > 1:
+            return "".join(chr(b) for b in code.to_bytes(size, "big") if 32 <= b < 127)
+        return self.text.get(code) or (chr(code) if code < 128 else "\ufffd")
 
 
 def load_fonts(doc, resources: dict) -> dict[str, Font]:

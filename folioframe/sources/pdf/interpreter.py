@@ -122,7 +122,7 @@ class Interpreter:
             elif isinstance(item, bytes):
                 began = True
                 codes = list(font.codes(item)) if font else [(c, 1) for c in item]
-                text += "".join([font.decode(c) if font else chr(c) for c, _ in codes])
+                text += "".join([font.decode(c, size) if font else chr(c) for c, size in codes])
                 advance = sum([font.width(c) for c, _ in codes]) if font else 500.0 * len(codes)
                 words = sum([n == 1 and c == 32 for c, n in codes])
                 moved += (advance / 1000 * size + s["Tc"] * len(codes) + s["Tw"] * words) * scale
