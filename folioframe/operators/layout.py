@@ -27,10 +27,11 @@ def by_page():
 
 
 def exclusion_zone(blocks: DataFrame, page_height: float, top: float, bottom: float) -> DataFrame:
-    """Without blocks whose baseline lies in the margins of that height; a margin of 0 is none."""
+    """Without blocks whose baseline lies in the margins of that height; a margin of 0 is none. A column page_height of blocks tells each page's own."""
+    own = F.col("page_height") if "page_height" in blocks.columns else F.lit(float(page_height))
     low = (F.col("y") < bottom) if bottom > 0 else F.lit(False)
-    high = (F.col("y") > page_height - top) if top > 0 and page_height > 0 else F.lit(False)
-    return blocks.filter(~(low | high))
+    high = (own > 0) & (F.col("y") > own - top) if top > 0 else F.lit(False)
+    return blocks.filter(~F.coalesce(low | high, F.lit(False))).drop("page_height")
 
 
 def body_font_size(blocks: DataFrame, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -319,11 +320,19 @@ def confident(detections: DataFrame, least: float = DEFAULT.detection_confidence
 
 
 def by_confidence(detections: DataFrame) -> DataFrame:
-    return detections.orderBy(*PAGE, F.desc("confidence"), "ord")
+    """detections with nth: their place on the page (from 1), the surest first."""
+    return detections.withColumn("nth", F.row_number().over(Window.partitionBy(*PAGE).orderBy(F.desc("confidence"), "ord")))
 
 
 def by_position(detections: DataFrame) -> DataFrame:
-    return detections.orderBy(*PAGE, "y1", "x1", "ord")
+    """detections with nth: their place on the page (from 1) by top, then left edge."""
+    return detections.withColumn("nth", F.row_number().over(Window.partitionBy(*PAGE).orderBy("y1", "x1", "ord")))
+
+
+def as_pictures(extra: DataFrame, least: float, after: int) -> DataFrame:
+    """Images or drawings as elements: those that were saved and are large enough both ways, placed after the page's text."""
+    kept = extra.filter((F.col("id") != "") & (F.col("width") >= least) & (F.col("height") >= least))
+    return kept.select(*PAGE, (F.col("ord") + after).cast("int").alias("ord"), F.lit("image").alias("type"), F.col("id").alias("content"), F.lit(0).alias("level"), "x", "y", "width", "height", F.lit(0.0).alias("font_size"), F.lit(0.0).alias("space_width"), F.lit(False).alias("bold"), F.lit(0.0).alias("last_y"), F.lit(None).cast("string").alias("link_uri"))
 
 
 def fuse_detections(elements: DataFrame, detections: DataFrame | None, config: Config = DEFAULT) -> DataFrame:

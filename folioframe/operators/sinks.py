@@ -6,23 +6,29 @@ import os
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.boxes import svg_path
 from .tables import trivial_graphic
 
 
+def file_name(doc_id: Column) -> Column:
+    """A document's name in file names: its base name, and eight digits of its whole name's hash, so that no two share one."""
+    whole = doc_id.cast("string")
+    stem = F.regexp_replace(F.regexp_replace(F.regexp_extract(whole, r"([^/]*)$", 1), r"\.\w+$", ""), r"[^A-Za-z0-9_-]", "_")
+    return F.concat(stem, F.lit("_"), F.substring(F.md5(whole.cast("binary")), 1, 8))
+
+
 def write_markdown(docs: DataFrame, folder: str) -> None:
-    """One text file per document below doc=<name>/."""
-    named = docs.select(F.regexp_replace(F.regexp_extract(F.col("doc_id").cast("string"), r"([^/]*)$", 1), r"\.\w+$", "").alias("doc"), "md")
-    named.write.mode("overwrite").partitionBy("doc").option("lineSep", "\n").text(folder)
+    """One text file per document below doc=<name>/; what else is in the folder, as images or other documents, stays."""
+    named = docs.select(file_name(F.col("doc_id")).alias("doc"), "md")
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc").option("lineSep", "\n").text(folder)
 
 
 def placed(rows: DataFrame, folder: str, kind) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("ord"))
-    stem = F.regexp_replace(F.regexp_replace(F.regexp_extract(F.col("doc_id").cast("string"), r"([^/]*)$", 1), r"\.\w+$", ""), r"[^A-Za-z0-9_-]", "_")
-    return rows.withColumn("path", F.format_string("images/%s_p%d_%d.%s", stem, "page", nth, kind))
+    return rows.withColumn("path", F.format_string("images/%s_p%d_%d.%s", file_name(F.col("doc_id")), "page", nth, kind))
 
 
 def saved(rows: DataFrame, folder: str, data: str) -> DataFrame:

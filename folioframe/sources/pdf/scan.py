@@ -102,8 +102,9 @@ def read(spark: SparkSession, path: str, password: str = "", pattern: str = "*.p
 
 
 def part(pages: DataFrame, name: str) -> DataFrame:
-    """doc_id, page and the fields of one kind: blocks, images, graphics or links."""
-    out = pages.select("doc_id", "page", F.inline(name))
+    """doc_id, page and the fields of one kind: blocks (with page_height), images, graphics or links."""
+    own = ["page_height"] if name == "blocks" else []
+    out = pages.select("doc_id", "page", *own, F.inline(name))
     return out.withColumn("link_uri", F.lit(None).cast("string")) if name == "blocks" else out.withColumnRenamed("ord", "link_ord") if name == "links" else out
 
 
