@@ -23,6 +23,12 @@ class Config:
     override_confidence: float = 0.5
     match_iou: float = 0.3
     link_share: float = 0.3
+    column_gap: float = 30.0  #: points between columns of text
+    min_table_columns: int = 2
+    min_table_rows: int = 2
+    column_tolerance: float = 5.0
+    row_tolerance: float = 3.0
+    min_table_confidence: float = 0.5
     exclude_top: float = 0.0
     exclude_bottom: float = 0.0
 

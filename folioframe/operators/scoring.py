@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
@@ -65,8 +67,8 @@ def rollup(scores: DataFrame, subset: str = "subset", metrics: tuple[str, ...] =
     return scores.rollup(subset).agg(F.count("*").alias("n_files"), *aggs, F.min_by("file", F.struct(metrics[0], "file")).alias("worst_file"))
 
 
-def spacing_errors(pairs: DataFrame) -> DataFrame:
-    """file, n_split, n_glued: words broken by a space that should not be there, and words run together.
+def spacing_marks(pairs: DataFrame) -> DataFrame:
+    """file, pos, a, b (the next token), split, glued, and at: after how many letters of a glued token the blank is missing.
 
     A break: two neighbouring tokens, set apart by blanks only, make a word of the ground truth and are not both its words.
     A gluing: a token that is no word of the ground truth is two neighbouring words of it run together, each of two letters
@@ -76,16 +78,30 @@ def spacing_errors(pairs: DataFrame) -> DataFrame:
     bare = lambda c: F.transform(c, lambda t: F.regexp_replace(t, r"^[^a-z0-9]+|[^a-z0-9]+$", ""))
     p = pairs.select("file", bare(letters(F.col("gen"))).alias("g"), bare(letters(F.col("gt"))).alias("t"))
     vocab = p.select("file", F.explode(F.array_distinct("t")).alias("word")).filter("word <> ''")
-    couples = F.array_distinct(F.expr("zip_with(slice(t, 1, size(t) - 1), slice(t, 2, size(t) - 1), (a, b) -> case when length(a) >= 2 and length(b) >= 2 then concat(a, b) end)"))
-    glue = p.filter("size(t) > 1").select("file", F.explode(couples).alias("word")).filter("word is not null")
-    g = p.select("file", F.posexplode("g").alias("pos", "a"), F.expr("g").alias("all")).withColumn("b", F.expr("get(all, pos + 1)")).drop("all").filter("a <> ''")
+    couples = F.array_distinct(F.expr("zip_with(slice(t, 1, size(t) - 1), slice(t, 2, size(t) - 1), (a, b) -> case when length(a) >= 2 and length(b) >= 2 then struct(concat(a, b) as word, length(a) as at) end)"))
+    glue = p.filter("size(t) > 1").select("file", F.explode(couples).alias("c")).filter("c is not null").groupBy("file", F.col("c.word").alias("a")).agg(F.min("c.at").alias("at"))
+    # neighbours are put together in the row, before the tokens are dealt out
+    g = p.select("file", F.posexplode(F.expr("zip_with(g, concat(slice(g, 2, greatest(size(g) - 1, 0)), array(cast(null as string))), (a, b) -> struct(a, b))")).alias("pos", "x")).select("file", "pos", "x.a", "x.b").filter("a <> ''")
     seen = lambda col: vocab.select("file", F.col("word").alias(col), F.lit(True).alias(f"in_{col}"))
     g = g.withColumn("ab", F.concat("a", "b"))
-    g = g.join(seen("a"), ["file", "a"], "left").join(seen("b"), ["file", "b"], "left").join(seen("ab"), ["file", "ab"], "left")
-    g = g.join(glue.select("file", F.col("word").alias("a"), F.lit(True).alias("in_glue")), ["file", "a"], "left")
-    split = F.col("in_ab") & (F.col("b") != "") & ~(F.coalesce("in_a", F.lit(False)) & F.coalesce("in_b", F.lit(False)))
-    glued = F.col("in_glue") & F.col("in_a").isNull()
-    return g.groupBy("file").agg(F.coalesce(F.sum(split.cast("long")), F.lit(0)).alias("n_split"), F.coalesce(F.sum(glued.cast("long")), F.lit(0)).alias("n_glued"))
+    g = g.join(seen("a"), ["file", "a"], "left").join(seen("b"), ["file", "b"], "left").join(seen("ab"), ["file", "ab"], "left").join(glue, ["file", "a"], "left")
+    split = F.coalesce("in_ab", F.lit(False)) & (F.col("b") != "") & ~(F.coalesce("in_a", F.lit(False)) & F.coalesce("in_b", F.lit(False)))
+    return g.select("file", "pos", "a", "b", F.coalesce(split, F.lit(False)).alias("split"), (F.col("at").isNotNull() & F.col("in_a").isNull()).alias("glued"), "at")
+
+
+def spacing_errors(pairs: DataFrame) -> DataFrame:
+    """file, n_split, n_glued: words broken by a space that should not be there, and words run together."""
+    g = spacing_marks(pairs)
+    return g.groupBy("file").agg(F.sum(F.col("split").cast("long")).alias("n_split"), F.sum(F.col("glued").cast("long")).alias("n_glued"))
+
+
+def spacing_examples(pairs: DataFrame, most: int) -> DataFrame:
+    """file, nth (from 1), example: the first `most` errors of each file, with | where the blank is wrong or missing. A broken word stands where its second part does."""
+    g = spacing_marks(pairs).filter("split or glued")
+    at = F.array(F.struct((F.col("pos") + 1).alias("place"), F.lit(0).alias("kind"), F.when(F.col("split"), F.concat(F.lit("split: "), "a", F.lit("|"), "b")).alias("example")), F.struct(F.col("pos").alias("place"), F.lit(1).alias("kind"), F.when(F.col("glued"), F.concat(F.lit("glued: "), F.expr("substr(a, 1, at)"), F.lit("|"), F.expr("substr(a, at + 1)"))).alias("example")))
+    rows = g.select("file", F.explode(F.filter(at, lambda x: x["example"].isNotNull())).alias("x"))
+    nth = F.row_number().over(Window.partitionBy("file").orderBy("x.place", "x.kind"))
+    return rows.withColumn("nth", nth).filter(F.col("nth") <= most).select("file", "nth", "x.example")
 
 
 def regressions(base: DataFrame, scores: DataFrame, tolerance: float = 0.02) -> DataFrame:
@@ -108,7 +124,14 @@ def write_baseline(scores: DataFrame, path: str, dataset: str, tool: str) -> Non
     scores.agg(F.lit(dataset).alias("dataset"), F.lit(tool).alias("tool"), entries.alias("scores")).coalesce(1).write.mode("overwrite").json(path)
 
 
+def below(path: Column, root: str) -> Column:
+    """A file's path below root, whatever scheme both are written with."""
+    plain = re.sub("^[a-z0-9]+:/+", "/", root.rstrip("/"))
+    return F.regexp_replace(F.regexp_replace(path, "^[a-z0-9]+:/+", "/"), r"^\Q" + plain + r"\E/", "")
+
+
 def ground_truth_pairs(spark, root: str, suffix: str = "md") -> DataFrame:
-    """file, gt: texts below root whose path holds /markdown/, named like the page files they belong to (/pdf/, .pdf)."""
+    """file, gt: texts <subset>/markdown/<name> below root, named like the page files they belong to, <subset>/pdf/<name>.pdf."""
     texts = spark.read.option("pathGlobFilter", f"*.{suffix}").option("recursiveFileLookup", True).text(root, wholetext=True)
-    return texts.select(F.regexp_replace(F.regexp_replace(F.input_file_name(), "/markdown/", "/pdf/"), rf"\.{suffix}$", ".pdf").alias("file"), F.col("value").alias("gt"))
+    file = F.regexp_replace(below(F.input_file_name(), root), rf"^([^/]*)/markdown/(.*)\.{suffix}$", "$1/pdf/$2.pdf")
+    return texts.select(file.alias("file"), F.col("value").alias("gt")).filter(F.regexp_like("file", F.lit(r"^[^/]*/pdf/.*\.pdf$")))

@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..config import DEFAULT, Config
 from ..functions import predicates as P
 from ..functions.dialect import SPARK
+from ..storage import written
 
 PAGE = ("doc_id", "page")
 
@@ -49,7 +51,12 @@ def table_cells(blocks: DataFrame) -> DataFrame:
     """doc_id, page, row, col, content: texts of a cell from left to right."""
     rowed = row_groups(blocks)
     placed = rowed.join(column_positions(rowed), [*PAGE]).withColumn("col", nearest_column(F.col("x"), F.col("columns"))).filter("col >= 0")
-    return placed.groupBy(*PAGE, "row", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ord", "text"))), lambda s: s["text"]), " ").alias("content"))
+    return cell_texts(placed)
+
+
+def cell_texts(placed: DataFrame, *more: str) -> DataFrame:
+    """doc_id, page, more, row, col, content: the texts of each cell's blocks, left to right."""
+    return placed.groupBy(*PAGE, *more, "row", "col").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("x", "ord", "text"))), lambda s: s["text"]), " ").alias("content"))
 
 
 def table_confidence(cells: DataFrame) -> DataFrame:
@@ -125,3 +132,42 @@ def in_region(blocks: DataFrame, regions: DataFrame, slack: float = 5.0) -> Data
     r = regions.select(*PAGE, F.array_min("rows").alias("_y1"), F.array_max("rows").alias("_y2"), F.array_min("cols").alias("_x1"), F.array_max("cols").alias("_x2"))
     cx, cy = F.col("x") + F.col("width") / 2, F.col("y") + F.col("height") / 2
     return blocks.join(r, [*PAGE]).filter(cx.between(F.col("_x1") - slack, F.col("_x2") + slack) & cy.between(F.col("_y1") - slack, F.col("_y2") + slack)).drop("_y1", "_y2", "_x1", "_x2")
+
+
+def minimum_blocks(blocks: DataFrame, least: int) -> DataFrame:
+    """blocks of the pages that have at least so many."""
+    return blocks.join(blocks.groupBy(*PAGE).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(*PAGE), [*PAGE], "left_semi")
+
+
+def ruled_cells(blocks: DataFrame, graphics: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """doc_id, page, ord, row, col, x, text: blocks inside a page's ruled grid, in the columns between its vertical lines (col -1: in none)."""
+    grids = grid_regions(ruled_lines(graphics))
+    inside = minimum_blocks(in_region(blocks, grids), config.min_table_rows * config.min_table_columns)
+    rowed = row_groups(inside, config.row_tolerance).join(grids.filter(F.size("cols") > config.min_table_columns).select(*PAGE, "cols"), [*PAGE])
+    slack = config.column_tolerance
+    fits = F.transform(F.slice("cols", 1, F.size("cols") - 1), lambda left, i: (F.col("x") >= left - slack) & (F.col("x") < F.get("cols", i + 1) + slack))
+    rowed = rowed.withColumn("col", (F.array_position(fits, F.lit(True)) - 1).cast("int"))
+    enough = rowed.groupBy(*PAGE).agg(F.max("row").alias("_r")).filter(F.col("_r") + 1 >= config.min_table_rows).select(*PAGE)
+    return rowed.join(enough, [*PAGE], "left_semi").select(*PAGE, "ord", "row", "col", "x", "text")
+
+
+def detect_tables(blocks: DataFrame, graphics: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
+    """Cells (doc_id, page, kind, row, col, content) and the blocks they consume (doc_id, page, ord); at most one table a page.
+
+    A ruled grid (kind ruled) comes first; pages without one may have a table by their blocks' positions (kind aligned), if its
+    confidence is high enough. Pages with fewer than rows x columns blocks have none.
+    """
+    enough = minimum_blocks(blocks, config.min_table_rows * config.min_table_columns)
+    ruled = written(ruled_cells(enough, graphics, config), "tables-ruled")  # what is read in several places is made once
+    others = enough.join(ruled.select(*PAGE).distinct(), [*PAGE], "left_anti")
+    rowed = written(row_groups(others, config.row_tolerance), "tables-rows")
+    placed = written(rowed.join(column_positions(rowed), [*PAGE]).withColumn("col", nearest_column(F.col("x"), F.col("columns"))).filter("col >= 0").select(*PAGE, "ord", "row", "col", "x", "text"), "tables-placed")
+    sure = table_confidence(cell_texts(placed)).filter((F.col("n_rows") >= config.min_table_rows) & (F.col("n_cols") >= config.min_table_columns) & (F.col("confidence") >= config.min_table_confidence))
+    aligned = placed.join(sure.select(*PAGE), [*PAGE], "left_semi")
+    both = ruled.withColumn("kind", F.lit("ruled")).unionByName(aligned.withColumn("kind", F.lit("aligned")))
+    return cell_texts(both.filter("col >= 0"), "kind"), both.select(*PAGE, "ord")
+
+
+def unconsumed(blocks: DataFrame, consumed: DataFrame) -> DataFrame:
+    """The blocks that no table has."""
+    return blocks.join(consumed, [*PAGE, "ord"], "left_anti")

@@ -107,6 +107,11 @@ def yolo_boxes(output: Column, boxes: int, features: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(boxes - 1)), one)
 
 
+# ImageNet's mean and standard deviation of red, green and blue.
+IMAGENET_MEAN = (0.485, 0.456, 0.406)
+IMAGENET_DEVIATION = (0.229, 0.224, 0.225)
+
+
 def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
     """Catmull-Rom resampling of [h, w, channels]."""
 
@@ -135,6 +140,28 @@ def letterboxed(image: np.ndarray, size: int, fill: int = 114) -> np.ndarray:
     return (out.astype(np.float32) / 255).transpose(2, 0, 1)
 
 
+def detection_tensor(image: np.ndarray, short: int = 960, stride: int = 32) -> np.ndarray:
+    """Input of a text detector: the shorter side `short` at least, both sides multiples of `stride`; [channel, row, column], by ImageNet's mean and deviation."""
+    h, w = image.shape[:2]
+    scale = max(1.0, short / min(h, w))
+    up = lambda v: max(stride, -(-int(v * scale) // stride) * stride)
+    x = resized(image, up(w), up(h)).astype(np.float32) / 255
+    return ((x - np.array(IMAGENET_MEAN, np.float32)) / np.array(IMAGENET_DEVIATION, np.float32)).transpose(2, 0, 1)
+
+
+def recognition_tensor(image: np.ndarray, box: tuple[int, int, int, int], height: int = 48, width: int = 320) -> np.ndarray | None:
+    """Input of a text recogniser: what a box (x1, y1, x2, y2) holds of the image, at that height, values in -1..1, zeros to the right; None if the box is empty."""
+    h, w = image.shape[:2]
+    x1, x2 = (min(max(v, 0), w) for v in (box[0], box[2]))
+    y1, y2 = (min(max(v, 0), h) for v in (box[1], box[3]))
+    if x2 <= x1 or y2 <= y1:
+        return None
+    own = max(1, min(int(height * (x2 - x1) / (y2 - y1)), width))
+    out = np.zeros((3, height, width), np.float32)
+    out[:, :, :own] = (resized(image[y1:y2, x1:x2], own, height).astype(np.float32) / 127.5 - 1).transpose(2, 0, 1)
+    return out
+
+
 def inferred(rows: DataFrame, model: Callable[[], Callable] | None, tensor: str, output: str, schema: str) -> DataFrame:
     """rows with a model's output. model: gives a callable on arrays, once for each worker. Without one the output is null: never an error."""
     if model is None:
@@ -147,7 +174,3 @@ def inferred(rows: DataFrame, model: Callable[[], Callable] | None, tensor: str,
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.list_(pa.float32()))], [*b.schema.names, output])
 
     return rows.mapInArrow(run, schema)
-
-
-def first_by(df: DataFrame, keys: tuple[str, ...], *order: Column) -> DataFrame:
-    return df.withColumn("_k", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_k = 1").drop("_k")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import os
 from collections.abc import Callable
 
@@ -25,6 +26,17 @@ def dictionary(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.posexplode("c").alias("k", "char")).select((F.col("k") + 1).alias("class"), "char")
 
 
+def verified(path: str | None, sha256: str | None = None) -> str | None:
+    """The path if its file has that digest (any, where none is asked for); a file that has another is no model."""
+    if path is None or sha256 is None:
+        return path
+    digest = hashlib.sha256()
+    with open(path, "rb") as f:
+        while part := f.read(1 << 20):
+            digest.update(part)
+    return path if digest.hexdigest() == sha256.lower() else None
+
+
 def compose(*steps: Callable) -> Callable:
     """Image transforms one after another."""
 

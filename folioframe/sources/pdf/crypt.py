@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 from .objects import PdfError, Stream, digest
 
@@ -131,6 +132,7 @@ def cbc_encrypt(key: bytes, data: bytes, iv: bytes) -> bytes:
     return b"".join(out)
 
 
+@lru_cache(64)
 def hardened(password: bytes, salt: bytes, more: bytes = b"") -> bytes:
     """The hash of revision 6."""
     k, i = hashlib.sha256(password + salt + more).digest(), 0
