@@ -1,7 +1,9 @@
 """Known cases of the layout, scoring, vision and page-scan operators."""
 
 import random
+import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -279,9 +281,9 @@ def test_svg_and_saved_images(spark, tmp_path):
     ops = [("M", [(0.0, 0.0)]), ("C", [(1.0, 1.0), (2.0, 2.0), (9.0, 9.0)])]
     g = spark.createDataFrame([("d/x.pdf", 1, 0, "Path1", ops, 1.0, True, False, 0.0, 0.0, 10.0, 10.0), ("d/x.pdf", 1, 1, "Path2", ops[:1], 1.0, True, False, 0.0, 0.0, 10.0, 10.0)], "doc_id string, page int, ord int, id string, ops array<struct<op:string,points:array<struct<x:double,y:double>>>>, line_width double, is_stroked boolean, is_filled boolean, x double, y double, width double, height double")
     paths = [r.id for r in sinks.save_graphics(g, str(tmp_path)).orderBy("ord").collect()]
-    assert paths[0] == "images/x_p1_1.svg" and (tmp_path / paths[0]).read_text().startswith("<svg")
+    assert re.fullmatch(r"images/x_[0-9a-f]{8}_p1_1\.svg", paths[0]) and (tmp_path / paths[0]).read_text().startswith("<svg")
     i = spark.createDataFrame([("../../etc", 1, 0, "../evil", bytearray(b"png"), "png", 0.0, 0.0, 1.0, 1.0)], "doc_id string, page int, ord int, id string, data binary, format string, x double, y double, width double, height double")
-    assert [r.id for r in sinks.save_images(i, str(tmp_path)).collect()] == ["images/etc_p1_1.png"]
+    assert [re.sub("_[0-9a-f]{8}_", "_", r.id) for r in sinks.save_images(i, str(tmp_path)).collect()] == ["images/etc_p1_1.png"]
 
 
 def brute_distance(a, b):
@@ -314,3 +316,137 @@ def test_edit_distance_of_long_texts():
 def test_similarity(spark):
     rows = spark.createDataFrame([("a b", "A  b"), ("", ""), ("", "x"), ("abcd", "abce"), (None, "x")], "gen string, gt string")
     assert [r[0] for r in rows.select(scoring.similarity(F.col("gen"), F.col("gt"))).collect()] == [1.0, 1.0, 0.0, 0.75, None]
+
+
+def test_sinks_keep_what_is_there(spark, tmp_path):
+    from folioframe.operators import sinks
+
+    schema = "doc_id string, page int, ord int, id string, data binary, format string, x double, y double, width double, height double"
+    rows = [(f"{d}/x.pdf", 1, 0, "Im", bytearray(d.encode()), "png", 0.0, 0.0, 1.0, 1.0) for d in "ab"]
+    names = sorted(r.id for r in sinks.save_images(spark.createDataFrame(rows, schema), str(tmp_path)).collect())
+    assert len(set(names)) == 2 and sorted((tmp_path / n).read_bytes() for n in names) == [b"a", b"b"]
+    docs = lambda *r: spark.createDataFrame(list(r), "doc_id string, md string")
+    sinks.write_markdown(docs(("a/x.pdf", "one"), ("b/x.pdf", "two")), str(tmp_path))
+    sinks.write_markdown(docs(("a/x.pdf", "three"), ("a/y.pdf", "four")), str(tmp_path))
+    texts = sorted(p.read_text() for p in tmp_path.glob("doc=*/*.txt"))
+    assert texts == ["four\n", "three\n", "two\n"] and all((tmp_path / n).exists() for n in names)
+
+
+def test_margins_by_each_page_s_own_height(spark):
+    rows = [(1, 0, k, f"t{k}", 0.0, y, h) for k, (y, h) in enumerate([(835.0, 842.0), (770.0, 842.0), (770.0, 792.0), (5.0, 792.0)])]
+    b = spark.createDataFrame(rows, "doc_id int, page int, ord int, text string, x double, y double, page_height double")
+    assert [r.text for r in layout.exclusion_zone(b, 0.0, 30, 10).collect()] == ["t1"]
+    assert [r.text for r in layout.exclusion_zone(b.drop("page_height"), 842.0, 30, 0).collect()] == ["t1", "t2", "t3"]
+
+
+def test_replayed_batch_replaces_what_it_wrote(spark, tmp_path):
+    from folioframe.streaming import markdown_stream
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.pdf").write_bytes(write([[("Helvetica", 12, 72, 700, "some plain words of a page here")]]))
+    for attempt in ("one", "two"):  # a lost checkpoint runs batch 0 again
+        q = markdown_stream(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / attempt))
+        q.awaitTermination()
+    rows = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert len(rows) == 1 and "some plain words" in rows[0].md
+
+
+def test_standard_fonts():
+    from folioframe.sources.pdf import encodings, metrics
+    from folioframe.sources.pdf.fonts import Font
+
+    class Doc:
+        get = staticmethod(lambda x: x)
+
+    for base in ("Helvetica", "ABCDEF+Helvetica"):
+        f = Font(Doc, {"Subtype": "Type1", "BaseFont": base, "Encoding": "WinAnsiEncoding"}, "F1")
+        assert f.width(ord("A")) == 667 and f.space_width() == 278
+    assert Font(Doc, {"Subtype": "Type1", "BaseFont": "Other"}, "F1").width(65) == 500
+    assert Font(Doc, {"Subtype": "Type1", "BaseFont": "Other", "FontDescriptor": {"MissingWidth": 300}}, "F1").width(65) == 300
+    standard = Font(Doc, {"Subtype": "Type1", "BaseFont": "Times-Roman"}, "F1")
+    assert [standard.decode(c) for c in (0xAE, 0xAF, 0xAA, 0xE1, 0xFA, 0xB1, 0xA6, 0xF5, 0xE8, 0xA0)] == ["fi", "fl", "“", "Æ", "œ", "–", "ƒ", "ı", "Ł", "\ufffd"]
+    named = Font(Doc, {"Subtype": "Type1", "BaseFont": "X", "Encoding": {"Differences": [65, "summation", "radicalBig", "uni20AC", "nosuchglyph", 200, "Aogonek"]}}, "F1")
+    assert [named.decode(c) for c in (65, 66, 67, 68, 200)] == ["∑", "√", "€", "D", "Ą"]
+    assert metrics.metrics("Times-Bold").width("Eacute", 0) == metrics.metrics("Times-Bold").width("E", 0) == 667
+    assert all(encodings.glyph_text(n) for e in ("StandardEncoding", "WinAnsiEncoding", "MacRomanEncoding") for n in encodings.codes_of(e).values())
+
+
+def test_tables_and_what_they_consume(spark):
+    from folioframe.operators import tables
+
+    block = "doc_id int, page int, ord int, text string, x double, y double, width double, height double"
+    cells = [(d, 0, 2 * r + c, f"{r}{c}", 100.0 + 100 * c, 700.0 - 20 * r, 30.0, 10.0) for d in (1, 2) for r in range(3) for c in range(2)]
+    rows = [*cells, (1, 0, 90, "outside", 400.0, 300.0, 50.0, 10.0), (3, 0, 0, "alone", 0.0, 0.0, 1.0, 1.0)]
+    b = spark.createDataFrame(rows, block)
+    line = lambda x1, y1, x2, y2: [("M", [(x1, y1)]), ("L", [(x2, y2)])]
+    ruled = [line(95.0, y, 300.0, y) for y in (645.0, 690.0, 715.0)] + [line(x, 645.0, x, 715.0) for x in (95.0, 195.0, 300.0)]
+    g = spark.createDataFrame([(1, 0, i, ops, True) for i, ops in enumerate(ruled)], "doc_id int, page int, ord int, ops array<struct<op:string,points:array<struct<x:double,y:double>>>>, is_stroked boolean")
+    found, consumed = tables.detect_tables(b, g)
+    got = {(r.doc_id, r.kind, r.row, r.col): r.content for r in found.collect()}
+    assert got == {(1, "ruled", r, c): f"{r}{c}" for r in range(3) for c in range(2)} | {(2, "aligned", r, c): f"{r}{c}" for r in range(3) for c in range(2)}
+    assert [r.text for r in tables.unconsumed(b, consumed).orderBy("doc_id").collect()] == ["outside", "alone"]
+
+
+def test_benchmark_and_command_line(spark, tmp_path, capsys):
+    import json
+
+    from folioframe import __main__ as cli
+    from folioframe import benchmark
+
+    for name, text, truth in (("one", "first words of a plain page", "first words of a plain page\n"), ("two", "other words stand on this page", "other wordsstand on this page"), ("three", "no truth", None)):
+        for kind in ("pdf", "markdown"):
+            (tmp_path / "data" / "set" / kind).mkdir(parents=True, exist_ok=True)
+        (tmp_path / "data" / "set" / "pdf" / f"{name}.pdf").write_bytes(write([[("Helvetica", 12, 72, 700, text)]]))
+        if truth:
+            (tmp_path / "data" / "set" / "markdown" / f"{name}.md").write_text(truth)
+    base = str(tmp_path / "base.json")
+    assert benchmark.main([str(tmp_path / "data"), "--baseline", base, "--update-baseline"]) == 0
+    held = json.loads(open(base).read())["scores"]
+    assert set(held) == {"set/pdf/one.pdf", "set/pdf/two.pdf"} and held["set/pdf/one.pdf"] == 1.0 and 0.9 < held["set/pdf/two.pdf"] < 1
+    assert benchmark.main([str(tmp_path / "data"), "--baseline", base, "--spacing-examples", "3", "--output", str(tmp_path / "md")]) == 0
+    assert "split: words|stand" in capsys.readouterr().out and len(list((tmp_path / "md").glob("doc=*"))) == 2
+    open(base, "w").write(json.dumps({"dataset": "d", "tool": "t", "scores": {"set/pdf/two.pdf": 1.0, "gone": 0.5}}))
+    assert benchmark.main([str(tmp_path / "data"), "--baseline", base]) == 1
+    assert cli.main(["--version"]) == 0 and cli.main([]) == 0
+    assert cli.main([str(tmp_path / "data" / "set" / "pdf" / "one.pdf"), "--no-onnx", "--no-ocr", "--exclude-top", "20"]) == 0
+    assert "first words of a plain page" in capsys.readouterr().out
+
+
+def test_written_files_read_back():
+    from folioframe.sources.pdf import filters
+    from folioframe.sources.pdf import writer as W
+
+    r = random.Random(2)
+    for n in (0, 1, 300, 20_000):
+        data = bytes(r.choice(b"abcde \n") for _ in range(n))
+        assert filters.lzw(W.lzw_encoded(data)) == data and filters.unpredicted(W.predicted(data, 7), 15, 7)[:n] == data
+    for kind in (None, "rc4-40", "rc4-128", "aes-128", "aes-256"):
+        for word in ("", "secret"):
+            b = W.Builder()
+            font = b.add(f"<< {W.PLAIN} >>".encode())
+            b.page(b.stream(W.lines_content(["Hello (x) é"])), f"/Font << /F1 {font} 0 R >>")
+            pages = list(scan.page_content(b.finished(packed=word == "", lock=W.Lock(kind, word) if kind else None), word))
+            assert pages[0]["error"] is None and [x["text"] for x in pages[0]["blocks"]] == ["Hello (x) é"]
+
+
+def test_recognition_tensors():
+    from folioframe.operators import vision
+
+    image = np.zeros((24, 100, 3), np.uint8)
+    image[:, 50:] = 255
+    r = vision.recognition_tensor(image, (0, 0, 100, 24))
+    assert r.shape == (3, 48, 320) and r[0, 0, 0] == -1 and r[0, 0, 190] == 1 and (r[:, :, 200:] == 0).all()
+    assert vision.recognition_tensor(image, (200, 0, 300, 24)) is None
+    d = vision.detection_tensor(image)
+    assert d.shape == (3, 960, 4000) and d[0, 0, 0] == pytest.approx(-0.485 / 0.229) and d[2, 5, 3990] == pytest.approx((1 - 0.406) / 0.225)
+
+
+def test_model_files(tmp_path):
+    import hashlib
+
+    from folioframe.sources import models
+
+    path = tmp_path / "m.onnx"
+    path.write_bytes(b"model")
+    assert models.verified(str(path), hashlib.sha256(b"model").hexdigest()) == str(path) and models.verified(str(path), "0" * 64) is None
+    assert models.verified(None, "x") is None and models.verified(str(path)) == str(path)
