@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import document_queries, geometry_queries, layout_queries, operator_queries, pdf_feature_queries, pdf_queries, scoring_queries, vision_queries  # noqa: F401  they register
+from .plans import document_queries, fold_queries, geometry_queries, layout_queries, operator_queries, pdf_feature_queries, pdf_queries, scoring_queries, vision_queries  # noqa: F401  they register
 from .registry import ORACLES, QUERIES  # noqa: F401
 
 
