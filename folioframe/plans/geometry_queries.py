@@ -12,14 +12,15 @@ from ..operators import tables as T
 from ..registry import query, table
 from ..sources import derived
 
-BOX = "select l_orderkey % 500 as doc_id, cast((l_orderkey {div} 500) % 4 as int) as page, ((l_linenumber + 10 * l_orderkey) * 10000 + l_partkey) * 100 + l_suppkey as ord, cast(l_partkey % 4 * 100 + l_partkey % 3 as double) as x, cast(l_suppkey % 8 as double) * 40 as y, l_quantity * 1.0{d} as width, 10 * (l_discount + 0.01{d}) as height, concat(l_returnflag, cast(l_linenumber as {string})) as text from "
+BOX = "select l_orderkey {div} 32 as doc_id, cast((l_orderkey {div} 8) % 4 as int) as page, ((l_linenumber + 10 * l_orderkey) * 10000 + l_partkey) * 100 + l_suppkey as ord, cast(l_partkey % 4 * 100 + l_partkey % 3 as double) as x, cast(l_suppkey % 8 as double) * 40 as y, l_quantity * 1.0{d} as width, 10 * (l_discount + 0.01{d}) as height, concat(l_returnflag, cast(l_linenumber as {string})) as text from "
 BOXES = "with boxes as (" + BOX.format(div="//", d="::double", string="varchar") + "lineitem)"
 
 
 def boxes(spark, sf_dir):
+    """Boxes of eight orders a page, four pages a document: pages grow in number, not in size."""
     items = table(spark, sf_dir, "lineitem")
     return items.selectExpr(
-        "l_orderkey % 500 as doc_id", "cast((l_orderkey div 500) % 4 as int) as page", "((l_linenumber + 10 * l_orderkey) * 10000 + l_partkey) * 100 + l_suppkey as ord", "cast(l_partkey % 4 * 100 + l_partkey % 3 as double) as x", "cast(l_suppkey % 8 as double) * 40 as y", "l_quantity * 1.0D as width", "10 * (l_discount + 0.01D) as height", "concat(l_returnflag, cast(l_linenumber as string)) as text"
+        "l_orderkey div 32 as doc_id", "cast((l_orderkey div 8) % 4 as int) as page", "((l_linenumber + 10 * l_orderkey) * 10000 + l_partkey) * 100 + l_suppkey as ord", "cast(l_partkey % 4 * 100 + l_partkey % 3 as double) as x", "cast(l_suppkey % 8 as double) * 40 as y", "l_quantity * 1.0D as width", "10 * (l_discount + 0.01D) as height", "concat(l_returnflag, cast(l_linenumber as string)) as text"
     )
 
 

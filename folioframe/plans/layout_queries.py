@@ -55,8 +55,8 @@ def text_filter(name: str, keep: bool = True, variant: str = "text"):
 for _name in ("list_item", "numbered_header", "caps_heading", "admonition", "code_line", "author_block", "table_row"):
     text_filter(_name)
 text_filter("numeric_cell", variant="case when ord % 2 = 0 then concat(cast(ord as string), '.5%') else text end")
-text_filter("lettered_italic", variant="concat('*A. ', substr(text, 1, 20), '*')")
-text_filter("math_text", variant="case when ord % 2 = 0 then concat('α∑', substr(text, 1, 3)) else text end")
+text_filter("lettered_italic", variant="concat('*A. ', substr(md5(text), 1, 12), '*')")
+text_filter("math_text", variant="case when ord % 2 = 0 then concat('α∑', substr(md5(text), 1, 3)) else text end")
 text_filter("page_number", keep=False, variant="case when ord % 5 = 0 then concat('- ', cast(ord as string), ' -') else text end")
 
 

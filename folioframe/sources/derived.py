@@ -17,8 +17,8 @@ FONTS = ("Helvetica", "Helvetica", "Helvetica-Bold", "ABCDEF+Times-Italic", "CMM
 
 
 def decorated(e: Engine, line: str, n: str) -> str:
-    cut = f"substr({line}, 1, 30)"
-    rules = [f"concat('1. ', {cut})", f"concat('2.1 ', {cut})", f"concat('• ', {line})", f"concat('- ', {line})", f"concat('NOTE ', {line})", f"concat('func ', {cut})", f"replace(substr({line}, 1, 40), ' ', '    ')", "'RELATED WORK'", f"concat('a = b + c ', {cut}, ' (1)')", f"concat('12    ', {cut}, '    34')"]
+    mark = f"substr(md5({line}), 1, 8)"  # short, and made from the whole line
+    rules = [f"concat('1. Part ', {mark})", f"concat('2.1 Section ', {mark})", f"concat('• ', {line})", f"concat('- ', {line})", f"concat('NOTE ', {line})", f"concat('func ', {mark}, '() {{')", f"replace({line}, ' ', '    ')", "'RELATED WORK'", f"concat('a = b + c ', {mark}, ' (1)')", f"concat('12    ', {line}, '    34')"]
     when = " ".join(f"when {k} then {r}" for k, r in enumerate(rules))
     return f"case ({n}) % 29 {when} else {line} end"
 
