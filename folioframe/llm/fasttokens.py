@@ -10,17 +10,21 @@ is what the library's plain encode() gives.
 
 from __future__ import annotations
 
+import os
 import unicodedata
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import xxhash
 
-from .wordarrays import mixed
-
 SPACE, LETTER, NUMBER, OTHER, UNSURE = range(5)
 PARTS = 4  #: numbers of four code points each that tell pieces apart
-CHUNK = 1 << 20  #: code points that are split at once
+#: What keeps so many of a number's code points, and the factors of a piece's hash.
+MASKS = np.array([0, 0xFFFF, 0xFFFFFFFF, 0xFFFFFFFFFFFF, 0xFFFFFFFFFFFFFFFF], np.uint64)
+FACTORS = np.array([0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x9FB21C651E98DF25], np.uint64)
+CHUNK = 1 << 18  #: code points that are split at once; some fifteen arrays of eight bytes each are held for them
+JOINED = 1000  #: pieces that the library gets in one text
 MOST_PIECES = 1_000_000  #: of the cache; it starts anew beyond that
 
 
@@ -35,16 +39,16 @@ def classes() -> np.ndarray:
     return table
 
 
-def parts_of(cps: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
-    """[PARTS, piece]: the first code points of each piece, four to a number, with zeros beyond its end."""
+def parts_of(cps: np.ndarray, s: np.ndarray, e: np.ndarray) -> list[np.ndarray]:
+    """The first code points of each piece, four to a number, with zeros beyond its end; a list of PARTS such numbers for each piece."""
     units = np.concatenate([cps.astype("<u2"), np.zeros(4 * PARTS, "<u2")])
     view = np.ndarray(shape=(len(units) - 3,), dtype="<u8", buffer=units, strides=(2,))
-    out = np.zeros((PARTS, len(s)), np.uint64)
+    size, out = e - s, []
     for j in range(PARTS):
-        size = np.clip(e - s - 4 * j, 0, 4).astype(np.uint64)
-        full = size == 4
-        mask = np.where(full, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << np.where(full, np.uint64(0), size * np.uint64(16))) - np.uint64(1))
-        out[j] = view[np.minimum(s + 4 * j, len(cps))] & mask
+        own = np.arange(len(s)) if j == 0 else np.flatnonzero(size > 4 * j)  # few pieces are long
+        part = np.zeros(len(s), np.uint64)
+        part[own] = view[s[own] + 4 * j] & MASKS[np.minimum(size[own] - 4 * j, 4)]
+        out.append(part)
     return out
 
 
@@ -73,39 +77,73 @@ def piece_starts(cps: np.ndarray, kind: np.ndarray, first: np.ndarray, last: np.
     return np.flatnonzero(start)
 
 
+class Grown:
+    """An array that grows at its end; all holds what is there."""
+
+    def __init__(self, kind):
+        self.held, self.size = np.zeros(1024, kind), 0
+
+    def add(self, new: np.ndarray) -> None:
+        end = self.size + len(new)
+        if end > len(self.held):
+            self.held = np.concatenate([self.held[: self.size], np.zeros(max(end, len(self.held) * 3 // 2) - self.size, self.held.dtype)])
+        self.held[self.size : end] = new
+        self.size = end
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.held[: self.size]
+
+
 class Encoder:
     """encode(texts) -> (ids of all texts one after another, ids of each)."""
 
     def __init__(self, path: str):
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the cores are busy with other tasks
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        added = self.library.get_added_tokens_decoder()
+        self.added = [t.content for t in added.values()]
+        # one that takes nothing from what stands beside it; no piece holds its string
+        self.mark = next(((t.content, n) for n, t in sorted(added.items()) if not (t.lstrip or t.rstrip or t.single_word)), None)
         self.forget()
 
     def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted
-        self.place = np.zeros(0, np.int64)  # of each key's ids
-        self.count = np.zeros(0, np.int32)
-        self.length = np.zeros(0, np.int64)  # code points of the piece
-        self.parts = np.zeros((PARTS, 0), np.uint64)
-        self.ids = np.zeros(0, np.uint32)
+        self.slot = np.zeros(0, np.int32)  # of each key, in what follows
+        self.place = Grown(np.int64)  # of the piece's ids
+        self.count = Grown(np.int32)
+        self.length = Grown(np.int64)  # code points of the piece
+        self.parts = [Grown(np.uint64) for _ in range(PARTS)]
+        self.ids = Grown(np.uint32)
         self.long: dict[int, str] = {}  # pieces longer than the parts, by key
 
-    def learn(self, keys: np.ndarray, pieces: list[str], parts: np.ndarray) -> None:
-        found = [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
-        count = np.fromiter(map(len, found), np.int32, len(found))
-        ids = np.fromiter((i for x in found for i in x), np.uint32, int(count.sum()))
-        place = len(self.ids) + np.concatenate([[0], np.cumsum(count[:-1], dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, ids])
-        everything = np.concatenate([self.keys, keys])
-        order = np.argsort(everything, kind="stable")
-        self.keys = everything[order]
-        self.place = np.concatenate([self.place, place])[order]
-        self.count = np.concatenate([self.count, count])[order]
-        self.length = np.concatenate([self.length, np.fromiter(map(len, pieces), np.int64, len(pieces))])[order]
-        self.parts = np.concatenate([self.parts, parts], axis=1)[:, order]
-        self.long |= {k: x for k, x in zip(keys.tolist(), pieces) if len(x) > 4 * PARTS}
+    def learn(self, keys: np.ndarray, pieces: list[str], parts: list[np.ndarray]) -> None:
+        """keys: sorted, and none known yet."""
+        ids, count = self.encoded(pieces)
+        slots, begin = self.place.size + np.arange(len(keys), dtype=np.int32), self.ids.size
+        at = np.searchsorted(self.keys, keys)
+        self.keys, self.slot = np.insert(self.keys, at, keys), np.insert(self.slot, at, slots)
+        self.place.add(begin + np.concatenate([[0], np.cumsum(count[:-1], dtype=np.int64)]))
+        self.count.add(count)
+        size = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        self.length.add(size)
+        for held, new in zip(self.parts, parts):
+            held.add(new)
+        self.ids.add(ids)
+        self.long |= {int(keys[i]): pieces[i] for i in np.flatnonzero(size > 4 * PARTS)}
+
+    def encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids, and how many each piece has. The library encodes what stands between added tokens by itself, so many pieces go in one text."""
+        if self.mark is None:
+            found = [x.ids for x in self.library.encode_batch_fast(pieces, add_special_tokens=False)]
+            return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int32, len(found))
+        text, number = self.mark
+        found = self.library.encode_batch_fast([text.join(pieces[i : i + JOINED]) + text for i in range(0, len(pieces), JOINED)], add_special_tokens=False)
+        ids = np.concatenate([np.array(x.ids, np.uint32) for x in found])
+        ends = np.flatnonzero(ids == number)
+        return ids[ids != number], np.diff(ends, prepend=-1).astype(np.int32) - 1
 
     def plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """By the library alone."""
@@ -169,23 +207,32 @@ class Encoder:
         s = piece_starts(cps, kind, first, last)
         e = np.append(s[1:], len(cps))
         parts, size = parts_of(cps, s, e), e - s
-        h = size.astype(np.uint64)
-        for p in parts:
-            h = mixed(h ^ p)
+        h = size.astype(np.uint64) * np.uint64(0xA0761D6478BD642F)
+        with np.errstate(over="ignore"):  # a collision is noticed below
+            for p, f in zip(parts, FACTORS):
+                h += p * f
+            h ^= h >> np.uint64(29)
         long = np.flatnonzero(size > 4 * PARTS)
         text_of = lambda i: whole[s[i] : e[i]]
         for i in long.tolist():
             h[i] ^= np.uint64(xxhash.xxh3_64_intdigest(text_of(i).encode("utf-8", "surrogatepass")))
         keys, where, back = np.unique(h, return_index=True, return_inverse=True)
         # pieces under one key must be one piece; a key known already must be that piece's
-        same = (parts == parts[:, where][:, back]).all() and (size == size[where][back]).all() and all(text_of(i) == text_of(where[back[i]]) for i in long.tolist())
+        rep = where[back]
+        same = np.array_equal(size, size[rep])
+        for j, p in enumerate(parts):
+            own = slice(None) if j < 2 else np.flatnonzero(size > 4 * j)  # the others are zero in all
+            same = same and np.array_equal(p[own], p[rep[own]])
+        same = same and all(text_of(i) == text_of(rep[i]) for i in long.tolist())
         at = np.searchsorted(self.keys, keys)
         known = np.zeros(len(keys), bool)
         if len(self.keys):
             at = np.minimum(at, len(self.keys) - 1)
             known = self.keys[at] == keys
-            same = same and (self.length[at] == size[where])[known].all() and (self.parts[:, at] == parts[:, where])[:, known].all()
-            same = same and all(self.long[k] == text_of(i) for k, i, old in zip(keys.tolist(), where.tolist(), known.tolist()) if old and size[i] > 4 * PARTS)
+            old, new = self.slot[at[known]], where[known]
+            same = same and (self.length.all[old] == size[new]).all() and all((p.all[old] == q[new]).all() for p, q in zip(self.parts, parts))
+            large = size[new] > 4 * PARTS
+            same = same and all(self.long[k] == text_of(i) for k, i in zip(keys[known][large].tolist(), new[large].tolist()))
         if not same:  # two pieces with one hash
             return self.plain(texts)
         if not known.all():
@@ -193,12 +240,12 @@ class Encoder:
                 self.forget()
                 known[:] = False
             new = np.flatnonzero(~known)
-            self.learn(keys[new], [text_of(i) for i in where[new].tolist()], parts[:, where[new]])
+            self.learn(keys[new], [text_of(i) for i in where[new].tolist()], [p[where[new]] for p in parts])
             at = np.searchsorted(self.keys, keys)
-        at = at[back]
-        count = self.count[at].astype(np.int64)
+        at = self.slot[at][back]
+        count = self.count.all[at].astype(np.int64)
         upto = np.cumsum(count)
-        ids = self.ids[np.repeat(self.place[at] - (upto - count), count) + np.arange(upto[-1])]
+        ids = self.ids.all[np.repeat(self.place.all[at] - (upto - count), count) + np.arange(upto[-1])]
         totals = np.concatenate([[0], upto])
         cut = np.searchsorted(s, np.append(ends - lens, len(cps)))
         return ids, np.diff(totals[cut])

@@ -13,7 +13,7 @@ import itertools
 import numpy as np
 
 END, OTHER = 0, 1
-CLASSES, SIZE, HIDDEN = 64, 64, 24
+CLASSES, SIZE, HIDDEN = 32, 64, 16
 WORDS = CLASSES * SIZE
 STREAMS, WINDOW = 32, 32
 #: Learning from all texts: so many words in so many streams at once.
@@ -34,9 +34,26 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return F32(0.5) * np.tanh(F32(0.5) * x) + F32(0.5)
 
 
-def log_softmax(x: np.ndarray) -> np.ndarray:
-    x = x - x.max(-1, keepdims=True)
-    return x - np.log(np.exp(x).sum(-1, keepdims=True))
+def softmax(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Probabilities, and the logarithm of their sum before scaling; x is overwritten. Rows are lowered only where they need it."""
+    top = x.max()
+    if top > 60:
+        lowered = x.max(-1, keepdims=True)
+        x -= lowered
+    np.exp(x, out=x)
+    total = x.sum(-1, keepdims=True)
+    x /= total
+    return x, np.log(total[:, 0]) + (lowered[:, 0] if top > 60 else 0)
+
+
+def log_sums(x: np.ndarray) -> np.ndarray:
+    """log(sum(exp(x))) of each row; x is overwritten."""
+    top = x.max()
+    lowered = x.max(1, keepdims=True) if top > 60 else None
+    if lowered is not None:
+        x -= lowered
+    np.exp(x, out=x)
+    return np.log(x.sum(1)) + (0 if lowered is None else lowered[:, 0])
 
 
 def step(gx: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -67,32 +84,38 @@ def window_gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, h0: np.nd
     hs = np.stack([s[5] for s in states]).reshape(-1, HIDDEN)
     y = targets.reshape(-1)
     c, w, at = y // SIZE, y % SIZE, np.arange(len(y))
-    lc = log_softmax(hs @ p["Wc"] + p["bc"])
+    lc = hs @ p["Wc"] + p["bc"]
     loss = -float(lc[at, c].sum())
-    dc = np.exp(lc)
+    dc, sums = softmax(lc)
+    loss += float(sums.sum())
     dc[at, c] -= 1
     dc /= len(y)
     g = {k: np.zeros_like(v) for k, v in p.items()}
     g["Wc"], g["bc"], dhs = hs.T @ dc, dc.sum(0), dc @ p["Wc"].T
     for k, own in by_class(c):
-        lw = log_softmax(hs[own] @ p["Ww"][k] + p["bw"][k])
+        mine = hs[own]
+        lw = mine @ p["Ww"][k] + p["bw"][k]
         place = np.arange(len(own)), w[own]
         loss -= float(lw[place].sum())
-        dw = np.exp(lw)
+        dw, sums = softmax(lw)
+        loss += float(sums.sum())
         dw[place] -= 1
         dw /= len(y)
-        g["Ww"][k], g["bw"][k] = hs[own].T @ dw, dw.sum(0)
+        g["Ww"][k], g["bw"][k] = mine.T @ dw, dw.sum(0)
         dhs[own] += dw @ p["Ww"][k].T
     dhs = dhs.reshape(t_max, b, HIDDEN)
     dh, dgx, dgh = np.zeros((b, HIDDEN), p["U"].dtype), np.empty_like(gx), np.empty_like(gx)
     for t in range(t_max - 1, -1, -1):
         before, z, r, n, ghn, _ = states[t]
         dh = dh + dhs[t]
-        dn = dh * (1 - z) * (1 - n * n)
-        dz = dh * (before - n) * z * (1 - z)
-        dr = dn * ghn * r * (1 - r)
-        dgx[t] = np.concatenate([dz, dr, dn], 1)
-        dgh[t] = np.concatenate([dz, dr, dn * r], 1)
+        q = 1 - z
+        dn = dh * q * (1 - n * n)
+        own, k = dgx[t], HIDDEN
+        own[:, :k] = dh * (before - n) * z * q
+        own[:, k : 2 * k] = dn * ghn * r * (1 - r)
+        own[:, 2 * k :] = dn
+        dgh[t] = own
+        dgh[t, :, 2 * k :] *= r
         dh = (dh * z + dgh[t] @ p["U"].T) * alive[t]
     g["U"] = np.stack([s[0] for s in states]).reshape(-1, HIDDEN).T @ dgh.reshape(-1, 3 * HIDDEN)
     # what reaches the inputs, summed for each word
@@ -201,14 +224,12 @@ def scores(p: dict, words: np.ndarray, counts: np.ndarray, window: int = 32) ->
         turn = np.argsort(kind, kind="stable")
         edge = np.searchsorted(kind[turn], np.arange(CLASSES + 1))
         lc = state @ p["Wc"] + p["bc"]
-        top = lc.max(1)
-        got[:] = lc[np.arange(len(lc)), kind] - top - np.log(np.exp(lc - top[:, None]).sum(1))
+        got[:] = lc[np.arange(len(lc)), kind] - log_sums(lc)
         for k in range(CLASSES):
             rows = turn[edge[k] : edge[k + 1]]
             if len(rows):
                 lw = state[rows] @ p["Ww"][k] + p["bw"][k]
-                top = lw.max(1)
-                got[rows] += lw[np.arange(len(rows)), place[rows]] - top - np.log(np.exp(lw - top[:, None]).sum(1))
+                got[rows] += lw[np.arange(len(rows)), place[rows]] - log_sums(lw)
         out += np.bincount(text, got, len(counts))
     result = np.zeros(len(counts))
     result[order] = out

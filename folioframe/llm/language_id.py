@@ -28,7 +28,7 @@ from .common import load, small_batches
 
 RANKS = 300
 TRAIN_ROWS = 4000
-SLICE = 1 << 19  #: code points that are worked on at once
+SLICE = 1 << 18  #: code points that are worked on at once
 BITS = np.int64(21)
 
 

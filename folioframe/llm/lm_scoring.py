@@ -9,7 +9,7 @@ The recurrent model knows the most frequent words and one stand-in for all other
 add-one share among these others, so the model is a proper distribution over the same words as the base. It learns from
 all training documents, whole ones: every task goes on from the same start by truncated backpropagation over the documents
 that it reads, and the tasks' parameters are averaged, weighted by their tokens, in a tree of `FAN` models a task, so that
-no more than FAN of them (some 0.8 MB each) reach the driver. The start is fitted on the driver to a bounded sample: about
+no more than FAN of them (some 0.3 MB each) reach the driver. The start is fitted on the driver to a bounded sample: about
 `train_docs` training documents, chosen by a hash, of up to `most_tokens` tokens each.
 
 Edge cases: a null or empty text is the end token alone. Rows are scored for themselves, also where ids repeat; a null id

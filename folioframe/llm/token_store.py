@@ -23,6 +23,7 @@ in the order of their roots; null ids come first. An empty table makes an empty
 
 from __future__ import annotations
 
+import bisect
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -64,12 +65,12 @@ def rolling(ids: np.ndarray) -> np.ndarray:
     return h >> np.uint64(40)
 
 
-def cuts(marks: np.ndarray, n: int) -> list[int]:
+def cuts(marks: list[int], n: int) -> list[int]:
     """Ends of the chunks of n ids; marks: the places where the rolling hash allows an end."""
     ends, at = [], 0
     while n - at > LEAST:
-        i = np.searchsorted(marks, at + LEAST)
-        end = int(marks[i]) if i < len(marks) else n
+        i = bisect.bisect_left(marks, at + LEAST)
+        end = marks[i] if i < len(marks) else n
         end = min(end, at + MOST, n)
         ends.append(end)
         at = end
@@ -123,14 +124,20 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: in
         for batch in (big.slice(i, SLICE) for i in range(0, len(big), SLICE)):
             doc_ids, texts = batch.column(0), [x or "" for x in batch.column(1).to_pylist()]
             ids, counts = own.encode(texts)
+            counts = counts + 1
             totals = np.cumsum(counts)
+            whole = np.insert(ids, totals[:-1] - np.arange(1, len(totals)), end_id) if len(totals) > 1 else ids
+            whole = np.append(whole, np.uint32(end_id)) if len(totals) else whole
+            # no cut lies within the first LEAST ids, so the hash never looks beyond a document's start
+            marks = np.flatnonzero((rolling(whole) & np.uint64(MASK)) == 0) + 1
+            edges = np.searchsorted(marks, np.concatenate([[0], totals]))
             rows: list[tuple] = []
-            for doc_id, n, upto in zip(doc_ids.to_pylist(), counts.tolist(), totals.tolist()):
-                x = np.append(ids[upto - n : upto], np.uint32(end_id))
+            raw = whole.astype(kind).tobytes()
+            for i, (doc_id, n, upto) in enumerate(zip(doc_ids.to_pylist(), counts.tolist(), totals.tolist())):
                 keys = []
-                data, a = x.astype(kind).tobytes(), 0
-                for b in cuts(np.flatnonzero((rolling(x) & np.uint64(MASK)) == 0) + 1, len(x)) if len(x) > LEAST else [len(x)]:
-                    piece = data[a * width : b * width]
+                first, a = upto - n, 0
+                for b in cuts((marks[edges[i] : edges[i + 1] + 1] - first).tolist(), n) if n > LEAST else [n]:
+                    piece = raw[(first + a) * width : (first + b) * width]
                     key = hashlib.blake2b(piece, digest_size=16).digest()
                     keys.append(key)
                     if key not in seen:
@@ -140,8 +147,8 @@ def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, width: in
                         rows.append(("c", key, None, b - a, width, None, None, piece))
                     a = b
                 nth += 1
-                root = doc_root(doc_id, len(x), keys)
-                rows.append(("d", hashlib.blake2b(root + nth.to_bytes(8, "little"), digest_size=16).digest(), doc_id, len(x), width, keys, root, None))
+                root = doc_root(doc_id, n, keys)
+                rows.append(("d", hashlib.blake2b(root + nth.to_bytes(8, "little"), digest_size=16).digest(), doc_id, n, width, keys, root, None))
             cols = list(zip(*rows))
             types = [pa.string(), pa.binary(), doc_ids.type, pa.int64(), pa.int32(), pa.list_(pa.binary()), pa.binary(), pa.binary()]
             names = ["kind", "key", "doc_id", "n", "width", "chunks", "root", "data"]

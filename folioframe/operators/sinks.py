@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -33,7 +34,7 @@ def placed(rows: DataFrame, folder: str, kind) -> DataFrame:
 
 def saved(rows: DataFrame, folder: str, data: str) -> DataFrame:
     """rows with id set to the path written, or '' where that failed. The folder must be one that all executors share."""
-    schema = rows.schema
+    schema, folder = rows.schema, re.sub("^file:/+", "/", folder)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

@@ -18,7 +18,7 @@ from ..registry import query, table
 from ..sources import models
 from ..sources.pdf import scan
 from ..sources.pdf import writer as W
-from ..storage import shared_dir, written
+from ..storage import own_folder, written
 from .geometry_queries import BOXES, COLUMNS, ROWS, SEGMENTS, boxes, graphics, heads_sql
 from .layout_queries import BLOCKS, LINKS, STYLED, blocks, elements
 from .pdf_feature_queries import built
@@ -122,7 +122,7 @@ def table_detection(spark, sf_dir):
 @query("select doc_id, text as md from documents where text is not null")
 def markdown_sink(spark, sf_dir):
     """Texts written as files and read again."""
-    out = f"{shared_dir(spark)}/markdown-sink"
+    out = own_folder(spark, "markdown-sink")
     docs = table(spark, sf_dir, "documents").filter("text is not null").select(F.concat(F.lit("a/"), F.col("doc_id").cast("string"), F.lit(".pdf")).alias("doc_id"), F.col("text").alias("md"))
     sinks.write_markdown(docs, out)
     got = spark.read.text(out, wholetext=True, pathGlobFilter="*.txt")
@@ -140,7 +140,7 @@ def image_sinks(spark, sf_dir):
     op = lambda name, *p: F.struct(F.lit(name).alias("op"), F.array(*(F.struct(F.lit(float(x)).alias("x"), F.lit(float(y)).alias("y")) for x, y in p)).alias("points"))
     path, line = F.array(op("M", (0, 0)), op("L", (20, 0)), op("C", (20, 5), (15, 20), (20, 20))), F.array(op("M", (0, 0)), op("L", (20, 0)))
     drawings = rows.select("doc_id", "page", F.explode(F.array(F.struct(F.lit(0).alias("ord"), path.alias("ops")), F.struct(F.lit(1).alias("ord"), line.alias("ops")))).alias("g")).select("doc_id", "page", "g.ord", F.lit("Path").alias("id"), "g.ops", F.lit(1.0).alias("line_width"), F.lit(True).alias("is_stroked"), F.lit(False).alias("is_filled"), *(F.lit(v).alias(c) for c, v in (("x", 0.0), ("y", 0.0), ("width", 20.0), ("height", 20.0))))
-    folder = f"{shared_dir(spark)}/image-sinks"
+    folder = own_folder(spark, "image-sinks")
     saved = written(sinks.save_images(images, folder).select("doc_id", "id").unionByName(sinks.save_graphics(drawings, folder).select("doc_id", "id")), "saved").filter("id <> ''")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
     got = saved.join(files.select(F.regexp_extract("path", "(images/[^/]*)$", 1).alias("id"), "content"), "id")
@@ -150,7 +150,7 @@ def image_sinks(spark, sf_dir):
 
 @query("select 'd' as dataset, 't' as tool, source as file, round(avg(n_chars) / 10000, 9) as score from documents where source is not null group by source")
 def baseline_roundtrip(spark, sf_dir):
-    path = f"{shared_dir(spark)}/baseline"
+    path = own_folder(spark, "baseline")
     S.write_baseline(table(spark, sf_dir, "documents").filter("source is not null").groupBy(F.col("source").alias("file")).agg((F.avg("n_chars") / 10000).alias("score")), path, "d", "t")
     return S.read_baseline(spark, path).withColumn("score", F.round("score", 9))
 
@@ -167,7 +167,7 @@ def benchmark_run(spark, sf_dir):
     from .. import benchmark as B
 
     rows = table(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_regionkey", "concat('the region of ', lower(n_name), ' lies between rivers and hills, as the old map says.') as a")
-    root = f"{shared_dir(spark)}/benchmark-run"
+    root = own_folder(spark, "benchmark-run")
 
     def make(r: dict) -> bytes:
         b = W.Builder()
@@ -201,7 +201,7 @@ def spacing_examples(spark, sf_dir):
 @query("with c as (select distinct p_brand from part), k as (select p_brand, row_number() over (order by p_brand) as class from c) select cast(class as integer) as class, p_brand as char from k")
 def ocr_dictionary(spark, sf_dir):
     """A dictionary file, with blank lines, as classes from 1."""
-    path = f"{shared_dir(spark)}/ocr-dictionary"
+    path = own_folder(spark, "ocr-dictionary")
     table(spark, sf_dir, "part").select("p_brand").distinct().agg(F.array_join(F.array_sort(F.collect_list("p_brand")), "\n\r\n\n").alias("value")).coalesce(1).write.mode("overwrite").text(path)
     return models.dictionary(spark, path)
 
@@ -231,15 +231,17 @@ def image_tensors(spark, sf_dir):
     return got.select(F.col("k").alias("p_partkey"), "det_h", "det_w", F.round("det_red", 2).alias("det_red"), "rec_w", "rec_used", F.round("rec_value", 2).alias("rec_value"), F.round("box_sum", 0).alias("box_sum"), "outside")
 
 
-@query("select doc_id, count(*) as pages, sum(case when page = 1 then 1 else 0 end) as first_pages from (select doc_id, unnest(range(1, 2 + (greatest(len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: x <> '')) - 1, 0)) // 40)) as page from documents where doc_id < 20) group by doc_id")
+@query("select n_nationkey, cast(unnest(range(1, n_regionkey + 2)) as integer) as page, n_name || ' of ' || n_regionkey as text from nation")
 def page_source(spark, sf_dir):
-    """The data source reads files by path, a task each, a batch a page."""
-    from .pdf_queries import written_pages
-
+    """The data source reads files by path, a task each, a batch a page: a file for each nation, with as many pages as its region's number says."""
     spark.dataSource.register(scan.PageSource)
-    folder = f"{shared_dir(spark)}/page-source"
-    files = table(spark, sf_dir, "documents").filter("doc_id < 20").select("doc_id", "text").mapInArrow(written_pages, "path long, content binary")
+    folder = own_folder(spark, "page-source")
+
+    def make(r: dict) -> bytes:
+        return W.write([[("Helvetica", 12, 72, 700, f"{r['n_name']} of {r['n_regionkey']}")]] * (r["n_regionkey"] + 1))
+
+    files = built(table(spark, sf_dir, "nation").select("n_nationkey", "n_name", "n_regionkey"), "path int, content binary", make)
     rows = files.select(F.concat(F.col("path").cast("string"), F.lit(".pdf")).alias("path"), F.col("content").alias("data"), F.lit("").alias("id"))
-    names = sorted(r["id"] for r in sinks.saved(rows, folder, "data").select("id").collect())  # a bounded list of files
+    names = sorted(r["id"] for r in sinks.saved(rows, folder, "data").select("id").collect())  # the files' names are the source's option
     pages = spark.read.format("folio_pages").option("files", ",".join(os.path.join(folder, n) for n in names)).load()
-    return pages.groupBy(F.regexp_extract("doc_id", r"([0-9]+)\.pdf$", 1).cast("long").alias("doc_id")).agg(F.count("*").alias("pages"), F.sum(F.when(F.col("page") == 1, 1).otherwise(0)).cast("long").alias("first_pages"))
+    return pages.select(F.regexp_extract("doc_id", r"([0-9]+)\.pdf$", 1).cast("int").alias("n_nationkey"), "page", F.col("blocks")[0]["text"].alias("text"))

@@ -130,6 +130,9 @@ class PageReader(DataSourceReader):
         return [InputPartition(f) for f in self.files]
 
     def read(self, partition):
+        """A batch for each page. The files must lie where every executor finds them."""
+        schema = pa.schema([("doc_id", pa.string()), *arrow_fields()])
         with open(partition.value, "rb") as f:
-            pages = [{"doc_id": partition.value} | p for p in page_content(f.read(), self.password)]
-        yield pa.RecordBatch.from_pylist(pages, pa.schema([("doc_id", pa.string()), *arrow_fields()]))
+            data = f.read()
+        for page in page_content(data, self.password):
+            yield pa.RecordBatch.from_pylist([{"doc_id": partition.value} | page], schema)
