@@ -86,10 +86,11 @@ def table_markdown(cells: DataFrame) -> DataFrame:
 
 def ruled_lines(graphics: DataFrame, least: float = 20.0, angle: float = 5.0) -> DataFrame:
     """doc_id, page, ord, nth, x1, y1, x2, y2, kind: segments of stroked paths that are long enough; kind h, v or null. ops: array of struct op, points."""
-    ops = graphics.filter("is_stroked").select(*PAGE, "ord", F.posexplode("ops").alias("nth", "o"), F.expr("ops[0].points[0]").alias("start"))
-    end = F.when(F.col("o.op") == "Z", F.col("start")).otherwise(F.element_at("o.points", -1))
-    w = Window.partitionBy(*PAGE, "ord").orderBy("nth")
-    s = ops.withColumn("_end", end).withColumn("_from", F.lag("_end").over(w)).filter("o.op in ('L', 'Z') and _from is not null")
+    # each op with the point before it, put together in the row: paths are told apart also where they share an ord
+    end = F.transform("ops", lambda o: F.when(o["op"] == "Z", F.expr("ops[0].points[0]")).otherwise(F.element_at(o["points"], -1)))
+    steps = F.transform(F.col("_ends"), lambda e, i: F.struct(F.get("ops", i)["op"].alias("op"), F.get("_ends", i - 1).alias("from"), e.alias("end")))
+    ops = graphics.filter("is_stroked").select(*PAGE, "ord", "ops", end.alias("_ends")).select(*PAGE, "ord", F.posexplode(steps).alias("nth", "o"))
+    s = ops.select(*PAGE, "ord", "nth", "o.op", F.col("o.from").alias("_from"), F.col("o.end").alias("_end")).filter("op in ('L', 'Z') and _from is not null")
     s = s.select(*PAGE, "ord", "nth", F.col("_from.x").alias("x1"), F.col("_from.y").alias("y1"), F.col("_end.x").alias("x2"), F.col("_end.y").alias("y2"))
     dx, dy = F.abs(F.col("x2") - F.col("x1")), F.abs(F.col("y2") - F.col("y1"))
     slope = F.degrees(F.atan2(dy, dx))
