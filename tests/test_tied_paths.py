@@ -24,3 +24,8 @@ def test_ruled_lines(spark, graphics):
     closed = [("M", [(0.0, 0.0)]), ("L", [(50.0, 0.0)]), ("L", [(50.0, 50.0)]), ("Z", [])]
     twice = tables.ruled_lines(spark.createDataFrame([(1, 0, 7, closed, True)] * 2, OPS))
     assert sorted((r.nth, r.x1, r.y1, r.x2, r.y2) for r in twice.collect()) == sorted(2 * [(1, 0.0, 0.0, 50.0, 0.0), (2, 50.0, 0.0, 50.0, 50.0), (3, 50.0, 50.0, 0.0, 0.0)])
+
+
+def test_grid_regions(graphics):
+    (r,) = tables.grid_regions(tables.ruled_lines(graphics)).collect()
+    assert (r.rows, r.cols) == ([645.0, 690.0, 715.0], [95.0, 195.0, 300.0])
