@@ -29,3 +29,10 @@ def test_ruled_lines(spark, graphics):
 def test_grid_regions(graphics):
     (r,) = tables.grid_regions(tables.ruled_lines(graphics)).collect()
     assert (r.rows, r.cols) == ([645.0, 690.0, 715.0], [95.0, 195.0, 300.0])
+
+
+def test_table_detection(spark, graphics):
+    cells = [(1, 0, 2 * r + c, f"{r}{c}", 100.0 + 100 * c, 700.0 - 20 * r, 30.0, 10.0) for r in range(3) for c in range(2)]
+    found, consumed = tables.detect_tables(spark.createDataFrame(cells, "doc_id int, page int, ord int, text string, x double, y double, width double, height double"), graphics)
+    assert {(r.kind, r.row, r.col): r.content for r in found.collect()} == {("ruled", r, c): f"{r}{c}" for r in range(3) for c in range(2)}
+    assert consumed.count() == 6
