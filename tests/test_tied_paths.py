@@ -36,3 +36,8 @@ def test_table_detection(spark, graphics):
     found, consumed = tables.detect_tables(spark.createDataFrame(cells, "doc_id int, page int, ord int, text string, x double, y double, width double, height double"), graphics)
     assert {(r.kind, r.row, r.col): r.content for r in found.collect()} == {("ruled", r, c): f"{r}{c}" for r in range(3) for c in range(2)}
     assert consumed.count() == 6
+
+
+def test_region_blocks(spark, graphics):
+    b = spark.createDataFrame([(1, 0, 0, 100.0, 700.0, 30.0, 10.0), (1, 0, 1, 290.0, 640.0, 10.0, 10.0), (1, 0, 2, 400.0, 700.0, 9.0, 9.0)], "doc_id int, page int, ord int, x double, y double, width double, height double")
+    assert sorted(r.ord for r in tables.in_region(b, tables.grid_regions(tables.ruled_lines(graphics))).collect()) == [0, 1]
