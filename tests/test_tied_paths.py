@@ -41,3 +41,8 @@ def test_table_detection(spark, graphics):
 def test_region_blocks(spark, graphics):
     b = spark.createDataFrame([(1, 0, 0, 100.0, 700.0, 30.0, 10.0), (1, 0, 1, 290.0, 640.0, 10.0, 10.0), (1, 0, 2, 400.0, 700.0, 9.0, 9.0)], "doc_id int, page int, ord int, x double, y double, width double, height double")
     assert sorted(r.ord for r in tables.in_region(b, tables.grid_regions(tables.ruled_lines(graphics))).collect()) == [0, 1]
+
+
+def test_separators(graphics):
+    (r,) = tables.separators(graphics, 400, 600).collect()
+    assert (r.horizontal, r.vertical) == ([645.0, 690.0, 715.0], [95.0, 195.0, 300.0])
