@@ -40,3 +40,18 @@ def test_alike_texts_share_a_rare_pair():
             h = np.sort(near_dedup.pair_hashes(x.tobytes()))
             shown.append(set(h[: len(h) - near_dedup.least_shared(len(x), 0.8) + 1].tolist()))
         assert shown[0] & shown[1]
+
+
+def test_pipeline_stage_keeps_one_of_each_pair_behind_a_passage(spark, monkeypatch):
+    import corpus_pipeline
+
+    monkeypatch.setattr(near_dedup, "FEW", 2)
+    r = random.Random(6)
+    word = lambda: "".join(r.choice("etaoinshrdlu") for _ in range(7))
+    passage, rows = [word() for _ in range(60)], []
+    for i in range(12):
+        own = [word() for _ in range(60)]
+        near = [word() if k % 6 == 3 else w for k, w in enumerate(own)]
+        rows += [(2 * i, " ".join(passage + own), "en"), (2 * i + 1, " ".join(passage + near), "en")]
+    out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
+    assert sorted(x.doc_id for x in out.collect()) == [2 * i for i in range(12)]
