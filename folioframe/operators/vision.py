@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -112,21 +113,19 @@ IMAGENET_MEAN = (0.485, 0.456, 0.406)
 IMAGENET_DEVIATION = (0.229, 0.224, 0.225)
 
 
-def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
-    """Catmull-Rom resampling of [h, w, channels]."""
-
-    def kernel(x: np.ndarray) -> np.ndarray:
-        x = np.abs(x)
-        return np.where(x < 1, 1.5 * x**3 - 2.5 * x**2 + 1, np.where(x < 2, -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2, 0.0))
+@lru_cache(maxsize=1024)
+def resampling(n: int, m: int) -> np.ndarray:
+    """Catmull-Rom weights [m, n] that make m pixels of n."""
+    x = np.abs((np.arange(n)[None, :] - ((np.arange(m)[:, None] + 0.5) * n / m - 0.5)) / max(1.0, n / m))
+    w = np.where(x < 1, 1.5 * x**3 - 2.5 * x**2 + 1, np.where(x < 2, -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2, 0.0))
+    return w / w.sum(1, keepdims=True)
 
-    def weights(n: int, m: int) -> np.ndarray:
-        scale = max(1.0, n / m)
-        at = (np.arange(m)[:, None] + 0.5) * n / m - 0.5
-        w = kernel((np.arange(n)[None, :] - at) / scale)
-        return w / w.sum(1, keepdims=True)
 
-    out = np.einsum("yh,hwc->ywc", weights(image.shape[0], height), image.astype(np.float64))
-    return np.clip(np.round(np.einsum("xw,ywc->yxc", weights(image.shape[1], width), out)), 0, 255).astype(np.uint8)
+def resized(image: np.ndarray, width: int, height: int) -> np.ndarray:
+    """Catmull-Rom resampling of [h, w, channels]."""
+    h, w, channels = image.shape
+    out = (resampling(h, height) @ image.reshape(h, -1).astype(np.float64)).reshape(height, w, channels)
+    return np.clip(np.round(resampling(w, width) @ out), 0, 255).astype(np.uint8)
 
 
 def letterboxed(image: np.ndarray, size: int, fill: int = 114) -> np.ndarray:

@@ -7,3 +7,17 @@ def test_spacing_examples_are_the_planted_ones(spark, tmp_path):
     spark.createDataFrame([(1, "ein eine dorf berg wald zaun")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     got = {(r.nth, r.example) for r in Q.spacing_examples(spark, str(tmp_path)).collect()}
     assert got == {(1, "glued: berg|dorf"), (2, "split: e|ine")}
+
+
+def test_equal_images_are_made_once(spark, tmp_path, monkeypatch):
+    made, plain = spark.sparkContext.accumulator(0), Q.tensors
+
+    def counted(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield from plain([b])
+
+    monkeypatch.setattr(Q, "tensors", counted)
+    spark.createDataFrame([(i * 30 * 17 * 127 + i % 2,) for i in range(40)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
+    got = Q.image_tensors(spark, str(tmp_path)).collect()
+    assert len(got) == 40 and {r.p_partkey for r in got} == {i * 30 * 17 * 127 + i % 2 for i in range(40)} and made.value == 2
