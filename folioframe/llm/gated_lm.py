@@ -57,7 +57,7 @@ def log_sums(x: np.ndarray) -> np.ndarray:
 
 
 def step(gx: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]:
-    k = HIDDEN
+    k = len(u)
     gh = h @ u
     zr = sigmoid(gx[:, : 2 * k] + gh[:, : 2 * k])
     n = np.tanh(gx[:, 2 * k :] + zr[:, k:] * gh[:, 2 * k :])
@@ -65,16 +65,16 @@ def step(gx: np.ndarray, h: np.ndarray, u: np.ndarray) -> tuple[np.ndarray, ...]
     return n + z * (h - n), z, zr[:, k:], n, gh[:, 2 * k :]
 
 
-def by_class(c: np.ndarray) -> list[tuple[int, np.ndarray]]:
+def by_class(c: np.ndarray, classes: int) -> list[tuple[int, np.ndarray]]:
     """The rows of each class that occurs."""
     order = np.argsort(c, kind="stable")
-    edge = np.searchsorted(c[order], np.arange(CLASSES + 1))
-    return [(k, order[edge[k] : edge[k + 1]]) for k in range(CLASSES) if edge[k + 1] > edge[k]]
+    edge = np.searchsorted(c[order], np.arange(classes + 1))
+    return [(k, order[edge[k] : edge[k + 1]]) for k in range(classes) if edge[k + 1] > edge[k]]
 
 
 def window_gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, h0: np.ndarray) -> tuple[float, dict, np.ndarray]:
     """inputs, targets: [time, stream]. Mean negative log-likelihood, gradients, the state after the window."""
-    t_max, b = inputs.shape
+    (t_max, b), (classes, size) = inputs.shape, p["bw"].shape  # the model's own, in whatever process
     gx, alive = (p["E"] @ p["W"] + p["b"])[inputs], (inputs != END).astype(F32)[..., None]
     h, states = h0, []
     for t in range(t_max):
@@ -83,7 +83,7 @@ def window_gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, h0: np.nd
         states.append((before, z, r, n, ghn, h))
     hs = np.stack([s[5] for s in states]).reshape(-1, HIDDEN)
     y = targets.reshape(-1)
-    c, w, at = y // SIZE, y % SIZE, np.arange(len(y))
+    c, w, at = y // size, y % size, np.arange(len(y))
     lc = hs @ p["Wc"] + p["bc"]
     loss = -float(lc[at, c].sum())
     dc, sums = softmax(lc)
@@ -92,7 +92,7 @@ def window_gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, h0: np.nd
     dc /= len(y)
     g = {k: np.zeros_like(v) for k, v in p.items()}
     g["Wc"], g["bc"], dhs = hs.T @ dc, dc.sum(0), dc @ p["Wc"].T
-    for k, own in by_class(c):
+    for k, own in by_class(c, classes):
         mine = hs[own]
         lw = mine @ p["Ww"][k] + p["bw"][k]
         place = np.arange(len(own)), w[own]
@@ -122,7 +122,7 @@ def window_gradients(p: dict, inputs: np.ndarray, targets: np.ndarray, h0: np.nd
     x = inputs.reshape(-1)
     order = np.argsort(x, kind="stable")
     first = np.flatnonzero(np.diff(x[order], prepend=-1))
-    table = np.zeros((WORDS, 3 * HIDDEN), p["U"].dtype)
+    table = np.zeros((len(p["E"]), 3 * HIDDEN), p["U"].dtype)
     table[x[order][first]] = np.add.reduceat(dgx.reshape(-1, 3 * HIDDEN)[order], first, axis=0)
     g["W"], g["b"], g["E"] = p["E"].T @ table, table.sum(0), table @ p["W"].T
     return loss / len(y), g, h
@@ -203,6 +203,7 @@ def unpacked(data: bytes, like: dict) -> dict[str, np.ndarray]:
 
 def scores(p: dict, words: np.ndarray, counts: np.ndarray, window: int = 32) -> np.ndarray:
     """Natural log-likelihood of each text. words: the numbers of all texts' words in order, each text with its END; counts: how many each has."""
+    classes, width = p["bw"].shape
     order = np.argsort(-counts, kind="stable")  # so that the texts that go on are always the first ones
     begin, size = (np.cumsum(counts) - counts)[order], counts[order]
     out = np.zeros(len(counts))
@@ -220,12 +221,12 @@ def scores(p: dict, words: np.ndarray, counts: np.ndarray, window: int = 32) ->
             text.append(own[:live])
         state, target, text = np.concatenate(state), np.concatenate(target), np.concatenate(text)
         got = np.empty(len(target), F32)
-        kind, place = target // SIZE, target % SIZE
+        kind, place = target // width, target % width
         turn = np.argsort(kind, kind="stable")
-        edge = np.searchsorted(kind[turn], np.arange(CLASSES + 1))
+        edge = np.searchsorted(kind[turn], np.arange(classes + 1))
         lc = state @ p["Wc"] + p["bc"]
         got[:] = lc[np.arange(len(lc)), kind] - log_sums(lc)
-        for k in range(CLASSES):
+        for k in range(classes):
             rows = turn[edge[k] : edge[k + 1]]
             if len(rows):
                 lw = state[rows] @ p["Ww"][k] + p["bw"][k]
