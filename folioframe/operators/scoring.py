@@ -77,16 +77,37 @@ def spacing_marks(pairs: DataFrame) -> DataFrame:
     letters = lambda c: F.filter(F.split(F.lower(c), BLANKS), lambda t: F.length(t) > 0)
     bare = lambda c: F.transform(c, lambda t: F.regexp_replace(t, r"^[^a-z0-9]+|[^a-z0-9]+$", ""))
     p = pairs.select("file", bare(letters(F.col("gen"))).alias("g"), bare(letters(F.col("gt"))).alias("t"))
-    vocab = p.select("file", F.explode(F.array_distinct("t")).alias("word")).filter("word <> ''")
-    couples = F.array_distinct(F.expr("zip_with(slice(t, 1, size(t) - 1), slice(t, 2, size(t) - 1), (a, b) -> case when length(a) >= 2 and length(b) >= 2 then struct(concat(a, b) as word, length(a) as at) end)"))
-    glue = p.filter("size(t) > 1").select("file", F.explode(couples).alias("c")).filter("c is not null").groupBy("file", F.col("c.word").alias("a")).agg(F.min("c.at").alias("at"))
-    # neighbours are put together in the row, before the tokens are dealt out
-    g = p.select("file", F.posexplode(F.expr("zip_with(g, concat(slice(g, 2, greatest(size(g) - 1, 0)), array(cast(null as string))), (a, b) -> struct(a, b))")).alias("pos", "x")).select("file", "pos", "x.a", "x.b").filter("a <> ''")
-    seen = lambda col: vocab.select("file", F.col("word").alias(col), F.lit(True).alias(f"in_{col}"))
-    g = g.withColumn("ab", F.concat("a", "b"))
-    g = g.join(seen("a"), ["file", "a"], "left").join(seen("b"), ["file", "b"], "left").join(seen("ab"), ["file", "ab"], "left").join(glue, ["file", "a"], "left")
-    split = F.coalesce("in_ab", F.lit(False)) & (F.col("b") != "") & ~(F.coalesce("in_a", F.lit(False)) & F.coalesce("in_b", F.lit(False)))
-    return g.select("file", "pos", "a", "b", F.coalesce(split, F.lit(False)).alias("split"), (F.col("at").isNotNull() & F.col("in_a").isNull()).alias("glued"), "at")
+    p = p.select("file", F.array("g").alias("g"), F.array("t").alias("t"))
+    if not pairs.groupBy("file").agg(F.count("*").alias("n")).filter("n > 1").isEmpty():  # rows of one file share its words
+        p = p.groupBy("file").agg(F.flatten(F.collect_list("g")).alias("g"), F.flatten(F.collect_list("t")).alias("t"))
+    kind = dict(pairs.dtypes)["file"]
+    return p.mapInArrow(marked, f"file {kind}, pos int, a string, b string, split boolean, glued boolean, at int")
+
+
+def marked(batches):
+    """The marks of each file, whose texts are lists of tokens; a file's words never leave its row. A file with tokens but no mark has one row that marks nothing."""
+    for batch in batches:
+        at, rows = [], []
+        for i in range(batch.num_rows):
+            gen, truth = ([t or [] for t in batch.column(c)[i].as_py() or []] for c in (1, 2))
+            vocab, glue, out = {w for t in truth for w in t if w}, {}, []
+            for t in truth:
+                for x, y in zip(t, t[1:]):
+                    if len(x) >= 2 and len(y) >= 2:
+                        glue[x + y] = min(len(x), glue.get(x + y, len(x)))
+            for g in gen:
+                for pos, (x, y) in enumerate(zip(g, [*g[1:], None])):
+                    if x:
+                        split, glued = bool(y) and x + y in vocab and not (x in vocab and y in vocab), x in glue and x not in vocab
+                        if split or glued:
+                            out.append((pos, x, y, split, glued, glue.get(x)))
+            if not out and any(x for g in gen for x in g):
+                out.append((0, "", None, False, False, None))
+            at += [i] * len(out)
+            rows += out
+        kinds = (pa.int32(), pa.string(), pa.string(), pa.bool_(), pa.bool_(), pa.int32())
+        cols = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 6, kinds)]
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), *cols], ["file", "pos", "a", "b", "split", "glued", "at"])
 
 
 def spacing_errors(pairs: DataFrame) -> DataFrame:

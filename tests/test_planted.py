@@ -21,3 +21,14 @@ def test_equal_images_are_made_once(spark, tmp_path, monkeypatch):
     spark.createDataFrame([(i * 30 * 17 * 127 + i % 2,) for i in range(40)], "p_partkey long").write.parquet(f"{tmp_path}/part.parquet")
     got = Q.image_tensors(spark, str(tmp_path)).collect()
     assert len(got) == 40 and {r.p_partkey for r in got} == {i * 30 * 17 * 127 + i % 2 for i in range(40)} and made.value == 2
+
+
+def test_spacing_marks_move_no_tokens(spark):
+    from folioframe.operators import scoring
+
+    p = spark.createDataFrame([("a", "informa tion theresult", "information the result"), ("b", "clean text", "clean text"), ("c", None, "x")], "file string, gen string, gt string")
+    marks = scoring.spacing_marks(p)
+    assert "Join" not in marks._jdf.queryExecution().executedPlan().toString()
+    assert {tuple(r) for r in scoring.spacing_errors(p).collect()} == {("a", 1, 1), ("b", 0, 0)}
+    twice = spark.createDataFrame([("a", "informa tion", "x"), ("a", "x", "information")], "file string, gen string, gt string")
+    assert [tuple(r) for r in scoring.spacing_errors(twice).collect()] == [("a", 1, 0)]
