@@ -55,3 +55,34 @@ def test_pipeline_stage_keeps_one_of_each_pair_behind_a_passage(spark, monkeypat
         rows += [(2 * i, " ".join(passage + own), "en"), (2 * i + 1, " ".join(passage + near), "en")]
     out = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string"), "")
     assert sorted(x.doc_id for x in out.collect()) == [2 * i for i in range(12)]
+
+
+def test_texts_that_are_mostly_two_words_are_compared_without_a_join_of_all(spark, monkeypatch):
+    r = random.Random(7)
+    texts = {i: [r.randrange(1 << 32) for _ in range(r.randint(12, 60))] + [1, 2] * 40 for i in range(160)}
+    for i in range(0, 160, 8):
+        texts[i + 1] = [*texts[i][:-6], 5, 6]
+    alike = {i: i for i in texts}
+    for a in texts:
+        for b in range(a):
+            if distance_within(np.array(texts[a]), np.array(texts[b]), int(0.2 * max(len(texts[a]), len(texts[b])) + 1e-9)) is not None:
+                low, high = sorted((alike[a], alike[b]))
+                alike = {k: low if v == high else v for k, v in alike.items()}
+    assert 50 < len(set(alike.values())) < 150
+    joined, met = [], near_dedup.met_hubs
+    monkeypatch.setattr(near_dedup, "met_hubs", lambda *a: joined.append(met(*a)) or joined.append(joined.pop().localCheckpoint()) or joined[-1])
+    members = spark.createDataFrame([(7, 0, i, len(t)) for i, t in texts.items()], "k long, f int, id long, n long")
+    table = spark.createDataFrame([(i, bytearray(np.array(t, np.uint32).tobytes())) for i, t in texts.items()], "id long, words binary")
+    labels = {x.v: x.label for x in near_dedup.link_all(members, table, 0.8).labels.collect()}
+    assert {i: labels.get(i, i) for i in texts} == alike
+    assert sum(x.count() for x in joined) < 8 * len(texts)
+
+
+def test_blocks_hold_every_pair_that_may_be_alike():
+    r = random.Random(8)
+    dealt = near_dedup.blocks_of({c: r.randrange(1, 10**6) for c in range(45)}, 0.8)
+    assert all(k >= 1 for k in dealt.values())
+    width = np.log(1 / 0.8) + 1e-6
+    for n in range(1, 30000):
+        m = n - int(0.2 * n + 1e-9)
+        assert np.floor(np.log(n) / width) - np.floor(np.log(m) / width) <= 1
