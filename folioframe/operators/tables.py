@@ -135,21 +135,51 @@ def in_region(blocks: DataFrame, regions: DataFrame, slack: float = 5.0) -> Data
     return blocks.join(r, [*PAGE]).filter(cx.between(F.col("_x1") - slack, F.col("_x2") + slack) & cy.between(F.col("_y1") - slack, F.col("_y2") + slack)).drop("_y1", "_y2", "_x1", "_x2")
 
 
-def minimum_blocks(blocks: DataFrame, least: int) -> DataFrame:
-    """blocks of the pages that have at least so many."""
-    return blocks.join(blocks.groupBy(*PAGE).agg(F.count("*").alias("_n")).filter(F.col("_n") >= least).select(*PAGE), [*PAGE], "left_semi")
+def ruled_column(x: Column, edges: Column, slack: float = 5.0) -> Column:
+    """0-based: the first interval between neighbouring edges that x lies in, give or take `slack`, else -1."""
+    fits = F.transform(F.slice(edges, 1, F.size(edges) - 1), lambda left, i: (x >= left - slack) & (x < F.get(edges, i + 1) + slack))
+    return (F.array_position(fits, F.lit(True)) - 1).cast("int")
 
 
-def ruled_cells(blocks: DataFrame, graphics: DataFrame, config: Config = DEFAULT) -> DataFrame:
-    """doc_id, page, ord, row, col, x, text: blocks inside a page's ruled grid, in the columns between its vertical lines (col -1: in none)."""
-    grids = grid_regions(ruled_lines(graphics))
-    inside = minimum_blocks(in_region(blocks, grids), config.min_table_rows * config.min_table_columns)
-    rowed = row_groups(inside, config.row_tolerance).join(grids.filter(F.size("cols") > config.min_table_columns).select(*PAGE, "cols"), [*PAGE])
-    slack = config.column_tolerance
-    fits = F.transform(F.slice("cols", 1, F.size("cols") - 1), lambda left, i: (F.col("x") >= left - slack) & (F.col("x") < F.get("cols", i + 1) + slack))
-    rowed = rowed.withColumn("col", (F.array_position(fits, F.lit(True)) - 1).cast("int"))
-    enough = rowed.groupBy(*PAGE).agg(F.max("row").alias("_r")).filter(F.col("_r") + 1 >= config.min_table_rows).select(*PAGE)
-    return rowed.join(enough, [*PAGE], "left_semi").select(*PAGE, "ord", "row", "col", "x", "text")
+def often(values: Column, least: Column) -> Column:
+    """Of a sorted array the values that occur so many times at least, each once."""
+    return F.array_distinct(F.filter(values, lambda v, i: F.get(values, i + least.cast("int") - 1) == v))
+
+
+def once(df: DataFrame, **columns: Column) -> DataFrame:
+    """df with columns that are worked out once a row: those of a generator are not put into the expressions that read them."""
+    return df.select("*", F.inline(F.array(F.struct(*(c.alias(name) for name, c in columns.items())))))
+
+
+def placed_blocks(blocks: DataFrame, graphics: DataFrame, config: Config = DEFAULT) -> DataFrame:
+    """doc_id, page, kind, ord, row, col, x, text of the blocks that tables consume (col -1: in no column).
+
+    A page's blocks are brought together once, in an array; all that is decided page by page is worked out there.
+    """
+    each = lambda name, f: F.transform(name, lambda b: b[f])
+    heads = lambda ys: F.transform(cluster_heads(F.transform(F.array_distinct(ys), lambda y: -y), config.row_tolerance), lambda y: -y)
+    row = lambda b: F.size(F.filter("_heads", lambda h: h >= b["y"])) - 1
+    cell = lambda b, col: F.struct(b["ord"].alias("ord"), row(b).alias("row"), col.alias("col"), b["x"].alias("x"), b["text"].alias("text"))
+    least, slack = config.min_table_rows * config.min_table_columns, 5.0
+    grids = grid_regions(ruled_lines(graphics)).filter(F.size("cols") > config.min_table_columns)
+    grids = grids.select(*PAGE, "cols", F.array_min("rows").alias("_y1"), F.array_max("rows").alias("_y2"), F.array_min("cols").alias("_x1"), F.array_max("cols").alias("_x2"))
+    p = blocks.filter("doc_id is not null and page is not null").groupBy(*PAGE).agg(F.collect_list(F.struct("ord", "x", "y", "width", "height", "text")).alias("_all")).filter(F.size("_all") >= least)
+    p = p.join(grids, [*PAGE], "left")
+    held = lambda b: (b["x"] + b["width"] / 2).between(F.col("_x1") - slack, F.col("_x2") + slack) & (b["y"] + b["height"] / 2).between(F.col("_y1") - slack, F.col("_y2") + slack)
+    p = once(p, _in=F.when(F.col("cols").isNotNull(), F.filter("_all", held)))
+    p = once(p, _h=F.when(F.size("_in") >= least, heads(each("_in", "y"))))
+    ruled = F.coalesce(F.size("_h") >= config.min_table_rows, F.lit(False))
+    p = once(p, _ruled=ruled, _use=F.when(ruled, F.col("_in")).otherwise(F.col("_all")), _heads=F.when(ruled, F.col("_h")).otherwise(heads(each("_all", "y"))), _at=F.when(~ruled, F.array_sort(F.transform("_all", lambda b: F.round(b["x"] / 5.0) * 5.0))))
+    p = once(p.select(*PAGE, "_ruled", "_use", "_heads", "_at", "cols"), _cols=F.when(F.col("_ruled"), F.col("cols")).otherwise(cluster_heads(often(F.col("_at"), F.greatest(F.lit(1), F.floor(F.size("_heads") / 2))), 10.0)))
+    aligned = F.filter(F.transform("_use", lambda b: cell(b, nearest_column(b["x"], F.col("_cols")))), lambda c: c["col"] >= 0)
+    p = once(p, _cells=F.when(F.col("_ruled"), F.transform("_use", lambda b: cell(b, ruled_column(b["x"], F.col("_cols"), config.column_tolerance)))).otherwise(aligned)).select(*PAGE, "_ruled", "_cells")
+    # the confidence of table_confidence, from the cells that have blocks
+    taken = F.array_sort(F.transform(F.array_distinct(F.transform("_cells", lambda c: c["row"].cast("long") * (1 << 31) + c["col"])), lambda k: F.floor(k / (1 << 31))))
+    p = once(p, _rows=F.when(~F.col("_ruled"), taken), _n=F.array_max(each("_cells", "row")) + 1, _m=F.array_max(each("_cells", "col")) + 1)
+    full = F.size(often(F.col("_rows"), F.greatest(F.lit(1), F.floor(F.col("_m") / 2))))
+    sure = (F.size("_rows") / (F.col("_n") * F.col("_m")) + full / F.col("_n")) / 2 >= config.min_table_confidence
+    p = p.filter(F.col("_ruled") | (F.col("_n") >= config.min_table_rows) & (F.col("_m") >= config.min_table_columns) & sure)
+    return p.select(*PAGE, F.when(F.col("_ruled"), "ruled").otherwise("aligned").alias("kind"), F.inline("_cells"))
 
 
 def detect_tables(blocks: DataFrame, graphics: DataFrame, config: Config = DEFAULT) -> tuple[DataFrame, DataFrame]:
@@ -158,14 +188,7 @@ def detect_tables(blocks: DataFrame, graphics: DataFrame, config: Config = DEFAU
     A ruled grid (kind ruled) comes first; pages without one may have a table by their blocks' positions (kind aligned), if its
     confidence is high enough. Pages with fewer than rows x columns blocks have none.
     """
-    enough = minimum_blocks(blocks, config.min_table_rows * config.min_table_columns)
-    ruled = written(ruled_cells(enough, graphics, config), "tables-ruled")  # what is read in several places is made once
-    others = enough.join(ruled.select(*PAGE).distinct(), [*PAGE], "left_anti")
-    rowed = written(row_groups(others, config.row_tolerance), "tables-rows")
-    placed = written(rowed.join(column_positions(rowed), [*PAGE]).withColumn("col", nearest_column(F.col("x"), F.col("columns"))).filter("col >= 0").select(*PAGE, "ord", "row", "col", "x", "text"), "tables-placed")
-    sure = table_confidence(cell_texts(placed)).filter((F.col("n_rows") >= config.min_table_rows) & (F.col("n_cols") >= config.min_table_columns) & (F.col("confidence") >= config.min_table_confidence))
-    aligned = placed.join(sure.select(*PAGE), [*PAGE], "left_semi")
-    both = ruled.withColumn("kind", F.lit("ruled")).unionByName(aligned.withColumn("kind", F.lit("aligned")))
+    both = written(placed_blocks(blocks, graphics, config), "tables-placed")  # read twice, made once
     return cell_texts(both.filter("col >= 0"), "kind"), both.select(*PAGE, "ord")
 
 

@@ -46,3 +46,17 @@ def test_region_blocks(spark, graphics):
 def test_separators(graphics):
     (r,) = tables.separators(graphics, 400, 600).collect()
     assert (r.horizontal, r.vertical) == ([645.0, 690.0, 715.0], [95.0, 195.0, 300.0])
+
+
+def test_table_detection_brings_a_page_together_once(spark, graphics, monkeypatch):
+    """One join, of pages with their grids: a sort for each join of blocks doesn't fit in memory at 36,000,000 boxes."""
+    made, written = [], tables.written
+    monkeypatch.setattr(tables, "written", lambda df, name: made.append(df) or written(df, name))
+    spaced = [(2, 0, 10 * r + c, f"{r}{c}", 100.0 * c, 700.0 - 20 * r, 30.0, 10.0) for r in range(3) for c in range(2)]
+    ruled = [(1, 0, 2 * r + c, f"{r}{c}", 100.0 + 100 * c, 700.0 - 20 * r, 30.0, 10.0) for r in range(3) for c in range(2)]
+    alone = [(3, 0, 0, "few", 0.0, 0.0, 1.0, 1.0)]
+    b = spark.createDataFrame(spaced + ruled + alone, "doc_id int, page int, ord int, text string, x double, y double, width double, height double")
+    found, consumed = tables.detect_tables(b, graphics)
+    assert sum(df._jdf.queryExecution().optimizedPlan().toString().count("Join ") for df in made) == 1
+    want = {(d, kind, r, c): f"{r}{c}" for d, kind in ((1, "ruled"), (2, "aligned")) for r in range(3) for c in range(2)}
+    assert {(r.doc_id, r.kind, r.row, r.col): r.content for r in found.collect()} == want and consumed.count() == 12
