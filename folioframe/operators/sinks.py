@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -21,12 +23,78 @@ def file_name(doc_id: Column) -> Column:
     return F.concat(stem, F.lit("_"), F.substring(F.md5(whole.cast("binary")), 1, 8))
 
 
+def local(folder: str) -> str | None:
+    """folder as a path of the file system, or None where it lies in another store."""
+    path = re.sub("^file:/+", "/", folder)
+    return None if "://" in path else path
+
+
 def write_markdown(docs: DataFrame, folder: str) -> None:
     """One text file per document below doc=<name>/; what else is in the folder, as images or other documents, stays."""
+    if local(folder):
+        markdown_files(docs, folder).write.format("noop").mode("overwrite").save()
+        return
     named = docs.select(file_name(F.col("doc_id")).alias("doc"), "md")
     named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("doc").option("lineSep", "\n").text(folder)
 
 
+def markdown_files(docs: DataFrame, folder: str) -> DataFrame:
+    """path, below folder, of each document's file, written as the rows are read. The folder must be one that all executors share.
+
+    Tasks write for themselves, as a table with a partition for each document costs a listing and a commit of each. A file
+    is complete when it has its name; a task that runs again gives the same names. Older files of a document are removed.
+    """
+    root, run_id = local(folder), uuid.uuid4().hex[:12]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        nth, task = 0, TaskContext.get().partitionId()
+        os.makedirs(root, exist_ok=True)
+        for b in batches:
+            paths = []
+            for doc, body in zip(b.column("doc").to_pylist(), b.column("md").to_pylist()):
+                under = f"doc={doc or '__HIVE_DEFAULT_PARTITION__'}"
+                own = os.path.join(root, under)
+                try:
+                    os.mkdir(own)
+                except FileExistsError:
+                    for old in os.listdir(own):
+                        if old.endswith(".txt") and not old.startswith((run_id, ".")):
+                            with contextlib.suppress(FileNotFoundError):
+                                os.remove(os.path.join(own, old))
+                name = f"{run_id}-{task}-{nth}.txt"
+                with open(os.path.join(own, f".{name}"), "wb") as f:
+                    f.write((body or b"") + b"\n")
+                os.replace(os.path.join(own, f".{name}"), os.path.join(own, name))
+                paths.append(f"{under}/{name}")
+                nth += 1
+            yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string())], ["path"])
+
+    return docs.select(file_name(F.col("doc_id")).alias("doc"), F.col("md").cast("binary").alias("md")).mapInArrow(run, "path string")
+
+
+def read_files(paths: DataFrame, folder: str, most: int = 1 << 23) -> DataFrame:
+    """path, content of the files below folder that a column path names, some megabytes at a time; none is listed."""
+    root = local(folder)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack = lambda: pa.RecordBatch.from_arrays([pa.array(names, pa.string()), pa.array(bodies, pa.binary())], ["path", "content"])
+        for b in batches:
+            names, bodies, size = [], [], 0
+            for path in b.column("path").to_pylist():
+                with open(os.path.join(root, path), "rb") as f:
+                    bodies.append(f.read())
+                names.append(path)
+                size += len(bodies[-1])
+                if size >= most:
+                    yield pack()
+                    names, bodies, size = [], [], 0
+            yield pack()
+
+    return paths.select("path").mapInArrow(run, "path string, content binary")
+
+
 def placed(rows: DataFrame, folder: str, kind) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("doc_id", "page").orderBy("ord"))
     return rows.withColumn("path", F.format_string("images/%s_p%d_%d.%s", file_name(F.col("doc_id")), "page", nth, kind))
