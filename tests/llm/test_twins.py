@@ -370,3 +370,18 @@ def test_pipeline_without_documents(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
     spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_lm_takes_the_softmax_of_a_long_tail_at_once(monkeypatch):
+    from folioframe.llm import gated_lm as G
+
+    calls, plain = [], getattr(G, "log_likelihoods", None)
+    monkeypatch.setattr(G, "log_likelihoods", lambda p, state, target: calls.append(len(target)) or plain(p, state, target), raising=False)
+    p, r = G.fresh(500), np.random.default_rng(3)
+    counts = np.array([20_000, 1, 30, 300])
+    words = r.integers(1, 500, counts.sum())
+    words[np.cumsum(counts) - 1] = G.END
+    got = G.scores(p, words, counts)
+    assert calls == [counts.sum()]  # before: one for each 32 steps, 625
+    ends = np.cumsum(counts)
+    assert got == pytest.approx([G.scores(p, words[e - n : e], np.array([n]), window=1)[0] for e, n in zip(ends, counts)], rel=1e-4)
